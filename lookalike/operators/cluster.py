@@ -99,6 +99,7 @@ def cluster_items(
     ``converge=None`` runs all rounds. A centre without items stays put.
     """
     spark = items.sparkSession
+    items = items.select(*keys, features).persist()
     seeds = seed_sample(items, k, seed, *keys).select(features).collect()
     points = tuple(tuple(row[0]) for row in seeds)
     counts = [0] * len(points)
@@ -114,6 +115,7 @@ def cluster_items(
         points, rounds = new, rounds + 1
         if converge is not None and shift <= converge:
             break
+    items.unpersist()
     return Fit(
         centers=centers_table(spark, points, counts),
         fit_stats=spark.createDataFrame(

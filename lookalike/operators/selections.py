@@ -153,11 +153,13 @@ def resize(selections: DataFrame, x_down: int, value_range: float = 1.0) -> Data
 
         return F.transform(im["bands"], scaled)
 
+    # two steps: a lambda would take the new width for the old one
+    sized = sized.withColumn("_scaled", bind(image, scale))
     return sized.select(
         *keep,
         F.col("_w").alias("width"),
         F.lit(x_down).alias("height"),
-        bind(image, scale).alias("bands"),
+        F.col("_scaled").alias("bands"),
     )
 
 

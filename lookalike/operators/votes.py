@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import cut_lineage
+
 HOT_FROM = 1000
 
 
@@ -96,20 +98,38 @@ def best_with_total(
 ) -> DataFrame:
     """cand, best_match, agree_count, total: the winner without the pair list."""
     names = list(on)
-    c = weigh(cand_tokens, cand, names, weight)
-    k = weigh(key_tokens, key, names)
-
+    # both token tables are read several times below; store them once
+    c = cut_lineage(weigh(cand_tokens, cand, names, weight))
+    k = cut_lineage(weigh(key_tokens, key, names))
     sums = k.groupBy(*names).agg(F.sum("w").alias("m"))
     totals = c.join(sums, names).groupBy(cand).agg(F.sum(F.col("w") * F.col("m")).alias("total"))
 
     cand_reps, c = represent(c, cand, names, "w")
     _, k = represent(k, key, names, "w")
-    k = k.withColumnRenamed("w", "m")
-    hot = k.groupBy(*names).agg(F.count("*").alias("_df")).where(F.col("_df") > hot_from).select(*names)
+    c, k = cut_lineage(c), cut_lineage(k.withColumnRenamed("w", "m"))
+    hot = k.groupBy(*names).agg(F.count("*").alias("_df")).where(F.col("_df") > hot_from)
+    hot = cut_lineage(hot.select(*names))
+
+    if hot.isEmpty():
+        contest = _pair_votes(c, k, names, cand, key)
+    else:
+        contest = _contest_with_hot(c, k, hot, names, cand, key)
+    winners = _best(contest, cand, key, "votes").withColumnRenamed(cand, "rep")
+    return cand_reps.join(winners, "rep").join(totals, cand).select(
+        cand,
+        F.col(key).alias("best_match"),
+        F.col("votes").alias("agree_count"),
+        "total",
+    )
+
 
-    rare = _pair_votes(c.join(hot, names, "left_anti"), k.join(hot, names, "left_anti"), names, cand, key)
+def _contest_with_hot(
+    c: DataFrame, k: DataFrame, hot: DataFrame, on: list[str], cand: str, key: str
+) -> DataFrame:
+    """Pairs among which every candidate's winner is, with their full votes."""
+    rare = _pair_votes(c.join(hot, on, "left_anti"), k.join(hot, on, "left_anti"), on, cand, key)
     hot_best, hot_scores, c_hot, k_hot = _hot_votes(
-        c.join(hot, names, "left_semi"), k.join(hot, names, "left_semi"), names, cand, key
+        c.join(hot, on, "left_semi"), k.join(hot, on, "left_semi"), on, cand, key
     )
     raised = (
         rare.join(c_hot, cand, "left")
@@ -117,17 +137,7 @@ def best_with_total(
         .join(hot_scores, ["_c", "_k"], "left")
         .select(cand, key, (F.col("votes") + F.coalesce("_hot", F.lit(0))).alias("votes"))
     )
-    winners = _best(raised.unionByName(hot_best), cand, key, "votes")
-    return (
-        cand_reps.join(winners.withColumnRenamed(cand, "rep"), "rep")
-        .join(totals, cand)
-        .select(
-            cand,
-            F.col(key).alias("best_match"),
-            F.col("votes").alias("agree_count"),
-            "total",
-        )
-    )
+    return raised.unionByName(hot_best)
 
 
 def _hot_votes(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str):
@@ -141,6 +151,7 @@ def _hot_votes(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str):
     scores = _pair_votes(
         c_bags.withColumnRenamed(cand, "_c"), k_bags.withColumnRenamed(key, "_k"), on, "_c", "_k"
     ).withColumnRenamed("votes", "_hot")
+    scores = cut_lineage(scores)
     c_members = c_members.withColumnRenamed("rep", "_c")
     k_members = k_members.withColumnRenamed("rep", "_k")
     best = (

@@ -521,15 +521,15 @@ oracle(
     """SELECT token, c.image_id AS cand, k.image_id, count(*) AS n
        FROM cands_wards c JOIN items_wards k USING (token) GROUP BY ALL""",
 )
+_SHARED = """(SELECT DISTINCT token FROM cands_wards JOIN items_wards USING (token)
+              ORDER BY token LIMIT 4)"""
 oracle(
     "token_pair_groups",
-    """WITH shared AS (SELECT DISTINCT token FROM cands_wards JOIN items_wards USING (token)
-                       ORDER BY token LIMIT 4)
-       SELECT token, 'cand' AS side, image_id AS id, count(*) AS n
-       FROM cands_wards JOIN shared USING (token) GROUP BY ALL
-       UNION ALL
-       SELECT token, 'image', image_id, count(*)
-       FROM items_wards JOIN shared USING (token) GROUP BY ALL""",
+    f"""SELECT token, 'cand' AS side, image_id AS id, count(*) AS n
+        FROM cands_wards WHERE token IN {_SHARED} GROUP BY ALL
+        UNION ALL
+        SELECT token, 'image', image_id, count(*)
+        FROM items_wards WHERE token IN {_SHARED} GROUP BY ALL""",
 )
 oracle(
     "outer_token_groups",
@@ -580,10 +580,13 @@ _NATIVE = """
      FROM (SELECT l_suppkey, unnest(['r', 'g', 'b']) AS band,
                   unnest([l_quantity, l_extendedprice / 1000.0, l_discount]) AS v FROM lineitem)
      GROUP BY l_suppkey, band)"""
-oracle("native_band_percentiles", f"SELECT image_id, band, q, {tidy('pct')} AS pct FROM {_NATIVE}")
+oracle(
+    "native_band_percentiles",
+    f"SELECT image_id, band, q, {tidy('pct', 9)} AS pct FROM {_NATIVE}",
+)
 oracle(
     "mean_of_percentiles",
-    f"SELECT band, q, {tidy('avg(pct)')} AS mean_pct FROM {_NATIVE} GROUP BY band, q",
+    f"SELECT band, q, {tidy('avg(pct)', 9)} AS mean_pct FROM {_NATIVE} GROUP BY band, q",
 )
 oracle(
     "mean_color_bins",

@@ -18,7 +18,7 @@ from ..plans.jobs import candidate_measures, run_actions
 from ..plans.measure import measure_images
 from ..plans.search import Matches, find_similar
 from ..sources import images as image_files
-from ..sources.store import RunStore, asset_key, fresh_dir, image_name
+from ..sources.store import RunStore, asset_key, cut_lineage, fresh_dir, image_name
 from . import inputs
 from .inputs import tidy, values_at, vector_text
 
@@ -429,7 +429,9 @@ def _by_kind(parts: dict[str, DataFrame]) -> DataFrame:
 def _prepared(spark, sf_dir):
     """Known items with clusters, their token counts, centres, candidates."""
     assigned, fit = inputs.assigned_items(spark, sf_dir)
-    return assigned, inputs.token_counts(assigned), fit.points, inputs.candidates(spark, sf_dir)
+    assigned = cut_lineage(assigned)
+    cands = cut_lineage(inputs.candidates(spark, sf_dir))
+    return assigned, inputs.token_counts(assigned), fit.points, cands
 
 
 def _matches(spark, sf_dir, mode: str = "weighted") -> Matches:
@@ -675,13 +677,13 @@ def _native_percentiles(spark, sf_dir) -> DataFrame:
 @query("native_band_percentiles")
 def native_band_percentiles(spark, sf_dir):
     rows = _native_percentiles(spark, sf_dir)
-    return rows.select("image_id", "band", "q", tidy("pct").alias("pct"))
+    return rows.select("image_id", "band", "q", tidy("pct", 9).alias("pct"))
 
 
 @query("mean_of_percentiles")
 def mean_of_percentiles(spark, sf_dir):
     rows = explore.mean_of_percentiles(_native_percentiles(spark, sf_dir))
-    return rows.select("band", "q", tidy("mean_pct").alias("mean_pct"))
+    return rows.select("band", "q", tidy("mean_pct", 9).alias("mean_pct"))
 
 
 @query("mean_color_bins")

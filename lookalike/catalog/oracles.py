@@ -570,6 +570,14 @@ oracle(
           SELECT unnest(string_split_regex(text, '[ \t\n\r\f\v]+')) AS word FROM documents)
         WHERE word <> '' GROUP BY word ORDER BY n DESC, word""",
 )
+oracle(
+    "inspect_type",
+    " UNION ALL ".join(
+        f"""(SELECT '{c}' AS "column", replace(lower(typeof({c})), 'varchar', 'string') AS type
+            FROM documents LIMIT 1)"""
+        for c in ("doc_id", "text", "lang", "source", "n_chars")
+    ),
+)
 oracle("row_count", "SELECT count(*) AS n FROM documents")
 oracle(
     "take_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10"

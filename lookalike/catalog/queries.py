@@ -660,7 +660,7 @@ def take_rows(spark, sf_dir):
 
 @query("inspect_type")
 def inspect_type(spark, sf_dir):
-    return explore.inspect_type(inputs.known_items(spark, sf_dir))
+    return explore.inspect_type(inputs.table(spark, sf_dir, "documents"))
 
 
 def _native_percentiles(spark, sf_dir) -> DataFrame:

@@ -28,7 +28,10 @@ ACTIONS = ("map_each_image", "kmeans", "find_similar")
 
 @dataclass(frozen=True)
 class Config:
-    """All settings of measuring, clustering and searching."""
+    """All settings of measuring, clustering and searching.
+
+    Fixed values: the defaults are those of the batch job.
+    """
 
     # which steps to run, and where
     actions: tuple[str, ...] = ACTIONS

@@ -154,14 +154,10 @@ def color_centroids(
             ),
         )
 
-    drawn = (
-        selections.select(*names, "bands")
-        .repartition(*names)
-        .select(
-            *names,
-            F.slice(F.array_sort(bind(F.col("bands"), hashed)), 1, sample).alias("_px"),
-        )
-    )
+    # sampled before the shuffle, which every round then reads again as it is
+    drawn = selections.select(
+        *names, F.slice(F.array_sort(bind(F.col("bands"), hashed)), 1, sample).alias("_px")
+    ).repartition(*names)
     last = F.size("_px") - 1
     centers = drawn.select(
         *names,

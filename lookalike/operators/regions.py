@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, idiv, positions, record
@@ -68,7 +68,7 @@ def region_tokens(
     keys: tuple[str, ...] = KEYS,
     adjacency: str = "lattice",
     partitions: int | None = None,
-    rounds_per_job: int = 3,
+    rounds_per_job: int = 4,
     max_jobs: int = 1000,
 ) -> DataFrame:
     """Keys and ``ward``: one token per region, in order of first position.
@@ -149,69 +149,83 @@ def _first_state(
     ).select(*names, "todo", "row.*")
 
 
+# One round as one statement: it is analysed once, not once per step.
+_ROUND = """
+WITH edges AS (
+    SELECT *,
+        IF(other IS NULL, NULL, least(region, other)) AS lo,
+        IF(other IS NULL, NULL, greatest(region, other)) AS hi
+    FROM {state}
+),
+-- equal costs are told apart by a hash, or a flat image would merge one pair
+-- per round
+chosen AS (
+    SELECT *,
+        IF(other IS NULL, NULL, struct(
+            n * other_n / (n + other_n) * (mean - other_mean) * (mean - other_mean) AS cost,
+            md5(concat_ws('|', lo, hi)) AS tie, lo, hi)) AS choice
+    FROM edges
+),
+picked AS (
+    SELECT *, choice = min(choice) OVER (PARTITION BY {{keys}}, region) AS is_pick FROM chosen
+),
+mutual AS (
+    SELECT * EXCEPT (choice, is_pick),
+        IF(sum(int(is_pick)) OVER (PARTITION BY {{keys}}, lo, hi) = 2, choice, NULL) AS pair
+    FROM picked
+),
+-- at the end only as many of the cheapest pairs as still needed
+ranked AS (
+    SELECT *, dense_rank() OVER (PARTITION BY {{keys}} ORDER BY pair NULLS LAST) AS place
+    FROM mutual
+),
+merging AS (
+    SELECT * EXCEPT (pair, place, todo),
+        pair IS NOT NULL AND place <= todo AS merges,
+        todo - coalesce(
+            max(IF(pair IS NOT NULL AND place <= todo, place, NULL)) OVER (PARTITION BY {{keys}}),
+            0) AS todo
+    FROM ranked
+),
+-- both ends work out the merged mean in the same order, lower region first
+renamed AS (
+    SELECT *,
+        max(IF(merges, struct(
+            lo AS region,
+            n + other_n AS n,
+            (IF(region = lo, n * mean, other_n * other_mean)
+             + IF(region = lo, other_n * other_mean, n * mean)) / (n + other_n) AS mean),
+            NULL)) OVER (PARTITION BY {{keys}}, region) AS new
+    FROM merging
+),
+-- a row knows its own region's change; the other end's stands in the twin row
+both AS (
+    SELECT *,
+        max(IF(region = lo, new, NULL)) OVER (PARTITION BY {{keys}}, lo, hi) AS new_lo,
+        max(IF(region = hi, new, NULL)) OVER (PARTITION BY {{keys}}, lo, hi) AS new_hi
+    FROM renamed
+),
+moved AS (
+    SELECT {{keys}}, todo, pos,
+        coalesce(new.region, region) AS region,
+        IF(other IS NULL, NULL, coalesce(new.n, n)) AS n,
+        IF(other IS NULL, NULL, coalesce(new.mean, mean)) AS mean,
+        IF(other = lo, coalesce(new_lo.region, other), coalesce(new_hi.region, other)) AS other,
+        IF(other = lo, coalesce(new_lo.n, other_n), coalesce(new_hi.n, other_n)) AS other_n,
+        IF(other = lo, coalesce(new_lo.mean, other_mean), coalesce(new_hi.mean, other_mean))
+            AS other_mean
+    FROM both
+)
+-- two merged regions may touch along several edges
+SELECT {{keys}}, region, other, pos, first(todo) AS todo, first(n) AS n, first(mean) AS mean,
+    first(other_n) AS other_n, first(other_mean) AS other_mean
+FROM moved
+WHERE other IS NULL OR (region <> other AND todo > 0)
+GROUP BY {{keys}}, region, other, pos
+"""
+
+
 def _merge_round(state: DataFrame, names: list[str]) -> DataFrame:
     """Merge the pairs that are each other's cheapest neighbour."""
-    is_edge = F.col("other").isNotNull()
-    lo, hi = F.least("region", "other"), F.greatest("region", "other")
-    gap = F.col("mean") - F.col("other_mean")
-    size = F.col("n") + F.col("other_n")
-    # equal costs are told apart by a hash, or a flat image would merge one
-    # pair per round
-    choice = F.struct(
-        (F.col("n") * F.col("other_n") / size * gap * gap).alias("cost"),
-        F.md5(F.concat_ws("|", F.col("_lo").cast("string"), F.col("_hi").cast("string"))).alias("tie"),
-        F.col("_lo").alias("lo"),
-        F.col("_hi").alias("hi"),
-    )
-    of_region = Window.partitionBy(*names, "region")
-    of_pair = Window.partitionBy(*names, "_lo", "_hi")
-    of_selection = Window.partitionBy(*names)
-
-    state = state.withColumns({"_lo": F.when(is_edge, lo), "_hi": F.when(is_edge, hi)})
-    state = state.withColumn("_choice", F.when(is_edge, choice))
-    state = state.withColumn("_picked", F.col("_choice") == F.min("_choice").over(of_region))
-    state = state.withColumn(
-        "_mutual", is_edge & (F.sum(F.col("_picked").cast("int")).over(of_pair) == 2)
-    )
-    # in the last round only as many of the cheapest pairs as still needed
-    state = state.withColumn("_mutual_choice", F.when(F.col("_mutual"), F.col("_choice")))
-    by_cost = of_selection.orderBy(F.col("_mutual_choice").asc_nulls_last())
-    state = state.withColumn("_rank", F.dense_rank().over(by_cost))
-    state = state.withColumn("_merge", F.col("_mutual") & (F.col("_rank") <= F.col("todo")))
-    merged = F.max(F.when(F.col("_merge"), F.col("_rank"))).over(of_selection)
-    state = state.withColumn("todo", F.col("todo") - F.coalesce(merged, F.lit(0)))
-
-    # both ends of a merging pair must get the very same mean
-    low, high = F.col("region") < F.col("other"), F.col("region") > F.col("other")
-    low_part = F.when(low, F.col("n") * F.col("mean")).otherwise(F.col("other_n") * F.col("other_mean"))
-    high_part = F.when(high, F.col("n") * F.col("mean")).otherwise(F.col("other_n") * F.col("other_mean"))
-    joined = F.struct(
-        F.col("_lo").alias("region"), size.alias("n"), ((low_part + high_part) / size).alias("mean")
-    )
-    state = state.withColumn("_new", F.max(F.when(F.col("_merge"), joined)).over(of_region))
-    # a row knows its own region's change; the other end's stands in the twin row
-    state = state.withColumns(
-        {
-            "_new_lo": F.max(F.when(low, F.col("_new"))).over(of_pair),
-            "_new_hi": F.max(F.when(high, F.col("_new"))).over(of_pair),
-        }
-    )
-    state = state.withColumn(
-        "_new_other", F.when(low, F.col("_new_hi")).when(high, F.col("_new_lo"))
-    )
-    state = state.select(
-        *names,
-        "todo",
-        F.coalesce("_new.region", "region").alias("region"),
-        F.when(is_edge, F.coalesce("_new.n", "n")).alias("n"),
-        F.when(is_edge, F.coalesce("_new.mean", "mean")).alias("mean"),
-        F.coalesce("_new_other.region", "other").alias("other"),
-        F.coalesce("_new_other.n", "other_n").alias("other_n"),
-        F.coalesce("_new_other.mean", "other_mean").alias("other_mean"),
-        "pos",
-    )
-    outer = state.where("other IS NULL OR (region <> other AND todo > 0)")
-    # two merged regions may now touch along several edges
-    return outer.groupBy(*names, "region", "other", "pos").agg(
-        *[F.first(c).alias(c) for c in ("todo", "n", "mean", "other_n", "other_mean")]
-    )
+    text = _ROUND.replace("{{keys}}", ", ".join(f"`{c}`" for c in names))
+    return state.sparkSession.sql(text, state=state)

@@ -12,19 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, idiv, positions, record, uniform
 
-_META = ("image_id", "sel_id", "is_full", "width", "height", "bands")
-
-
 def select_full(images: DataFrame) -> DataFrame:
     """The whole image as selection 0."""
-    return images.select(
-        "image_id",
-        F.lit(0).alias("sel_id"),
-        F.lit(True).alias("is_full"),
-        "width",
-        "height",
-        "bands",
-    )
+    return _cut(images, F.array(_window(0, 0, 0, F.col("height"), F.col("width"))))
 
 
 def select_patches(
@@ -38,20 +28,7 @@ def select_patches(
     ``fraction`` scales width and height. An image with fewer window places
     than ``max_patches`` gets that many windows.
     """
-    w = F.floor(F.col("width") * fraction[0]).cast("int")
-    h = F.floor(F.col("height") * fraction[1]).cast("int")
-    framed = images.withColumns(
-        {"_w": w, "_h": h, "_cols": F.col("width") - w + 1, "_rows": F.col("height") - h + 1}
-    )
-    count = F.least(F.lit(max_patches), F.col("_cols") * F.col("_rows"))
-    numbered = framed.withColumn("sel_id", F.explode(F.transform(positions(count), lambda i: i + 1)))
-
-    def corner(axis: str, places: str) -> Column:
-        draw = uniform(F.lit(seed), F.col("image_id"), F.col("sel_id"), F.lit(axis))
-        return F.floor(draw * F.col(places)).cast("int")
-
-    placed = numbered.withColumns({"_r0": corner("row", "_rows"), "_c0": corner("col", "_cols")})
-    return _cut(placed)
+    return _cut(images, _patches(max_patches, fraction, seed))
 
 
 def select_quadrants(images: DataFrame) -> DataFrame:
@@ -59,29 +36,63 @@ def select_quadrants(images: DataFrame) -> DataFrame:
 
     The first half of an odd axis is the longer one.
     """
-    left = F.ceil(F.col("width") / 2).cast("int")
-    top = F.ceil(F.col("height") / 2).cast("int")
-    nothing = F.lit(0)
-    parts = []
-    for number, (r0, h, c0, w) in enumerate(
-        (
-            (nothing, top, nothing, left),
-            (nothing, top, left, F.col("width") - left),
-            (top, F.col("height") - top, nothing, left),
-            (top, F.col("height") - top, left, F.col("width") - left),
-        ),
-        start=1,
-    ):
-        parts.append(
-            record(sel_id=F.lit(number), _r0=r0, _h=h.cast("int"), _c0=c0, _w=w.cast("int"))
-        )
-    split = images.withColumn("_part", F.explode(F.array(*parts))).select("*", "_part.*")
-    return _cut(split.where("_h > 0 AND _w > 0"))
+    return _cut(images, _quadrants(0))
+
+
+def select_all(
+    images: DataFrame,
+    max_patches: int,
+    fraction: tuple[float, float],
+    seed: int,
+    quadrants: bool = False,
+) -> DataFrame:
+    """Whole image plus its patches (and quadrants), numbered apart.
 
+    All windows come from one pass, so an image is read and decoded once.
+    """
+    windows = [F.array(_window(0, 0, 0, F.col("height"), F.col("width")))]
+    if max_patches > 0:
+        windows.append(_patches(max_patches, fraction, seed))
+    if quadrants:
+        windows.append(_quadrants(max_patches))
+    return _cut(images, F.concat(*windows))
 
-def _cut(framed: DataFrame) -> DataFrame:
-    """Windows at (_r0, _c0) of _h rows and _w columns."""
 
+def _window(sel_id, r0, c0, h, w) -> Column:
+    fields = {"sel_id": sel_id, "_r0": r0, "_c0": c0, "_h": h, "_w": w}
+    return record(
+        **{n: (v if isinstance(v, Column) else F.lit(v)).cast("int") for n, v in fields.items()}
+    )
+
+
+def _patches(max_patches: int, fraction: tuple[float, float], seed: int) -> Column:
+    w = F.floor(F.col("width") * fraction[0])
+    h = F.floor(F.col("height") * fraction[1])
+    rows, cols = F.col("height") - h + 1, F.col("width") - w + 1
+
+    def patch(i: Column) -> Column:
+        def corner(axis: str, places: Column) -> Column:
+            draw = uniform(F.lit(seed), F.col("image_id"), i + 1, F.lit(axis))
+            return F.floor(draw * places)
+
+        return _window(i + 1, corner("row", rows), corner("col", cols), h, w)
+
+    return F.transform(positions(F.least(F.lit(max_patches), cols * rows)), patch)
+
+
+def _quadrants(numbered_after: int) -> Column:
+    left, top = F.ceil(F.col("width") / 2), F.ceil(F.col("height") / 2)
+    right, low = F.col("width") - left, F.col("height") - top
+    quarters = ((0, 0, top, left), (0, left, top, right), (top, 0, low, left), (top, left, low, right))
+    parts = F.array(
+        *[_window(numbered_after + n, *quarter) for n, quarter in enumerate(quarters, start=1)]
+    )
+    return F.filter(parts, lambda q: (q["_h"] > 0) & (q["_w"] > 0))
+
+
+def _cut(images: DataFrame, windows: Column) -> DataFrame:
+    """One row per window, with the window's part of every band."""
+    framed = images.withColumn("_part", F.explode(windows)).select("*", "_part.*")
     box = record(**{c: F.col(c) for c in ("_r0", "_c0", "_h", "_w", "width", "bands")})
 
     def cut(at: Column) -> Column:
@@ -96,13 +107,15 @@ def _cut(framed: DataFrame) -> DataFrame:
             ),
         )
 
+    is_full = F.col("sel_id") == 0
+    framed = framed.withColumn("_bands", F.when(is_full, F.col("bands")).otherwise(bind(box, cut)))
     return framed.select(
         "image_id",
         "sel_id",
-        F.lit(False).alias("is_full"),
+        is_full.alias("is_full"),
         F.col("_w").alias("width"),
         F.col("_h").alias("height"),
-        bind(box, cut).alias("bands"),
+        F.col("_bands").alias("bands"),
     )
 
 
@@ -173,20 +186,3 @@ def _taps(old: Column, new: Column) -> Column:
         return record(lo=low, hi=F.least(low + 1, (old - 1).cast("int")), t=place - low)
 
     return F.transform(positions(new), tap)
-
-
-def select_all(
-    images: DataFrame,
-    max_patches: int,
-    fraction: tuple[float, float],
-    seed: int,
-    quadrants: bool = False,
-) -> DataFrame:
-    """Whole image plus its patches (and quadrants), numbered apart."""
-    parts = select_full(images)
-    if max_patches > 0:
-        parts = parts.unionByName(select_patches(images, max_patches, fraction, seed))
-    if quadrants:
-        quarters = select_quadrants(images).withColumn("sel_id", F.col("sel_id") + max_patches)
-        parts = parts.unionByName(quarters)
-    return parts.select(*_META)

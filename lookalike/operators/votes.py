@@ -5,9 +5,9 @@ they occur:
 
     votes(cand, key) = sum over tokens of weight(cand, token) * count(token, key)
 
-``vote_counts`` lists every pair. ``best_with_total`` needs only the winner
-and the sum, and gets both without listing pairs for tokens that many items
-share:
+``vote_counts`` lists every pair, ``votes_of_bags`` only those of different
+bags of tokens. ``best_with_total`` needs only the winner and the sum, and gets
+both without listing pairs for tokens that many items share:
 
 * the sum comes from per-token totals, one row per token;
 * items with equal bags of tokens (copies) are represented by the one with
@@ -36,6 +36,28 @@ def weigh(tokens: DataFrame, owner: str, on: list[str], weight: str | None = Non
     return tokens.groupBy(owner, *on).agg(amount.cast("bigint").alias("w"))
 
 
+def votes_of_bags(
+    cand_tokens: DataFrame,
+    key_tokens: DataFrame,
+    on: tuple[str, ...] = ("token",),
+    cand: str = "cand",
+    key: str = "image_id",
+    weight: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All votes without repeating them for copies.
+
+    Returns cand, key, votes between representatives, and two tables that
+    name every candidate's and every item's representative (``rep``). Items
+    with equal bags have equal votes, so the three say everything.
+    """
+    names = list(on)
+    c = cut_lineage(weigh(cand_tokens, cand, names, weight))
+    k = cut_lineage(weigh(key_tokens, key, names))
+    c_members, c = represent(c, cand, names, "w")
+    k_members, k = represent(k, key, names, "w")
+    return _pair_votes(c, k.withColumnRenamed("w", "m"), names, cand, key), c_members, k_members
+
+
 def vote_counts(
     cand_tokens: DataFrame,
     key_tokens: DataFrame,
@@ -46,13 +68,16 @@ def vote_counts(
 ) -> DataFrame:
     """cand, key, votes for every pair that shares a token.
 
-    The result has a row per pair; use ``best_with_total`` where the winner
-    is enough.
+    The result has a row per pair, copies included. ``votes_of_bags`` says
+    the same in fewer rows, and ``best_with_total`` needs no pairs.
     """
-    names = list(on)
-    c = weigh(cand_tokens, cand, names, weight)
-    k = weigh(key_tokens, key, names).withColumnRenamed("w", "m")
-    return _pair_votes(c, k, names, cand, key)
+    pairs, c_members, k_members = votes_of_bags(cand_tokens, key_tokens, on, cand, key, weight)
+    return (
+        pairs.withColumnsRenamed({cand: "_c", key: "_k"})
+        .join(c_members.withColumnRenamed("rep", "_c"), "_c")
+        .join(k_members.withColumnRenamed("rep", "_k"), "_k")
+        .select(cand, key, "votes")
+    )
 
 
 def _pair_votes(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators.cluster import (
@@ -18,15 +19,22 @@ from ..operators.cluster import (
 )
 from ..operators.lookups import token_lookups
 from ..operators.search import as_candidates
-from ..sources.images import image_bands, image_load, image_meta
+from ..sources.images import image_bands, image_format, image_load, image_scan
 from ..sources.store import RunStore
 from .measure import measure_images
 from .search import Matches, find_similar
 
 
 def load_images(spark: SparkSession, folder: str, glob: str) -> tuple[DataFrame, DataFrame]:
-    """Decoded images of a folder, and their metadata."""
-    return image_bands(image_load(spark, folder, glob)), image_meta(spark, folder, glob)
+    """Decoded images of a folder, and the format and length of their files.
+
+    Sizes and bands are known from decoding, so metadata does not decode again.
+    """
+    files = image_scan(spark, folder, glob)
+    facts = files.select(
+        F.col("path").alias("image_id"), "length", image_format(F.col("content")).alias("format")
+    )
+    return image_bands(image_load(spark, folder, glob)), facts
 
 
 def fit_clusters(measures: DataFrame, config: Config) -> tuple[Fit, DataFrame, DataFrame]:
@@ -56,8 +64,12 @@ def save_clusters(store: RunStore, fit: Fit, assigned: DataFrame, counts: DataFr
 
 
 def save_matches(store: RunStore, matches: Matches) -> None:
+    """Votes per kind, without repeating them for copies, and the winners."""
     for kind in ("ward", "phash"):
-        store.save(matches.votes(kind), store.candidate_path(f"{kind}_to_key_counts"))
+        votes, candidates, known = matches.bag_votes(kind)
+        store.save(votes, store.candidate_path(f"{kind}_to_key_counts"))
+        store.save(candidates, store.candidate_path(f"{kind}_candidate_copies"))
+        store.save(known, store.candidate_path(f"{kind}_key_copies"))
     store.save(matches.joined(), store.candidate_path("joined_final_matches"))
 
 

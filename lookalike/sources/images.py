@@ -125,7 +125,8 @@ def write_png(images: DataFrame, folder: str) -> int:
     Tasks write their own rows through the file system the folder's address
     names. A task that runs again writes the same bytes under the same names.
     """
-    address = folder if "://" in folder else f"file://{folder}"
+    scheme, _, path = folder.rpartition(":/")
+    address = folder if "://" in folder else f"{scheme or 'file'}:///{path.lstrip('/')}"
 
     def write(batches):
         import struct

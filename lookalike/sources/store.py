@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="lookalike-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
-    return named
+    # below the named folder, and with its file system spelled out
+    return context.getCheckpointDir()
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

@@ -88,7 +88,9 @@ def test_tables_are_written_once(spark):
 
 
 def test_shared_folder_is_the_named_one(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark).startswith(f"file:{named}/")
+    assert shared_dir(spark) == shared_dir(spark)
 
 
 def test_asset_key(spark):

@@ -125,7 +125,7 @@ PARTS: dict[str, str] = {
         UNION ALL
         SELECT 'ward', image_id, unnest(ward) FROM cands""",
     "scores": """
-        SELECT kind, cand, cluster_id, sum(n) AS score
+        SELECT kind, cand, cluster_id, sum(n)::BIGINT AS score
         FROM cand_single JOIN counts USING (kind, token) GROUP BY ALL""",
     "by_token": """
         SELECT kind, c.image_id AS cand, coalesce(cluster_id, 0) AS cluster_id
@@ -154,7 +154,7 @@ PARTS: dict[str, str] = {
     "weighed": "SELECT asked.*, n_b FROM asked JOIN weights USING (kind, cluster_id)",
     # --- votes
     "votes": """
-        SELECT kind, cand, image_id, sum(n_b) AS votes
+        SELECT kind, cand, image_id, sum(n_b)::BIGINT AS votes
         FROM weighed JOIN known USING (kind, token) GROUP BY ALL""",
     "strict_votes": """
         SELECT kind, cand, image_id, count(*) AS votes
@@ -167,7 +167,7 @@ def best(source: str, *keys: str) -> str:
     names = ", ".join(keys)
     return f"""
         SELECT {names}, image_id AS best_match, votes AS agree_count, total FROM (
-            SELECT *, sum(votes) OVER (PARTITION BY {names}) AS total FROM {source})
+            SELECT *, (sum(votes) OVER (PARTITION BY {names}))::BIGINT AS total FROM {source})
         QUALIFY row_number() OVER (PARTITION BY {names} ORDER BY votes DESC, image_id) = 1"""
 
 
@@ -181,7 +181,7 @@ def joined(source: str) -> str:
 
 
 def fused(source: str) -> str:
-    added = f"(SELECT cand, image_id, sum(votes) AS votes FROM {source} GROUP BY ALL)"
+    added = f"(SELECT cand, image_id, sum(votes)::BIGINT AS votes FROM {source} GROUP BY ALL)"
     return best(added, "cand")
 
 
@@ -419,9 +419,10 @@ oracle(
 )
 oracle(
     "fit_meta",
-    f"""SELECT cluster_id, n, NULL::INT AS rounds, NULL::DOUBLE AS shift, NULL::DOUBLE AS sse FROM c2
-        UNION ALL
-        SELECT NULL, NULL, 2, {tidy('shift')}, {tidy('sse', 5)} FROM shift, fit_sse""",
+    f"""SELECT 'n' AS name, cluster_id, n::DOUBLE AS value FROM c2
+        UNION ALL SELECT 'rounds', -1, 2.0
+        UNION ALL SELECT 'shift', -1, {tidy('shift')} FROM shift
+        UNION ALL SELECT 'sse', -1, {tidy('sse', 5)} FROM fit_sse""",
 )
 
 _KNOWN_PHASH = "(SELECT * FROM known WHERE kind = 'phash') k JOIN assigned a USING (image_id)"
@@ -472,7 +473,7 @@ oracle("candidate_tokens", "SELECT kind, cand, 0 AS sel_id, pick, cluster_id, to
 oracle("join_on_cluster", "SELECT kind, cand, 0 AS sel_id, pick, cluster_id, token, n_b FROM weighed")
 oracle(
     "join_token_key",
-    """SELECT kind, token, cand, image_id, sum(n_b) AS n
+    """SELECT kind, token, cand, image_id, sum(n_b)::BIGINT AS n
        FROM weighed JOIN known USING (kind, token) GROUP BY ALL""",
 )
 oracle("vote_counts", "SELECT kind, cand, image_id, votes FROM votes")
@@ -534,7 +535,8 @@ oracle(
 oracle(
     "outer_token_groups",
     """SELECT token, count(DISTINCT c.image_id) AS n_cand, count(DISTINCT k.image_id) AS n_image,
-              min(c.image_id) AS first_cand, min(k.image_id) AS first_image, count(*) AS n_rows
+              coalesce(min(c.image_id), -1) AS first_cand,
+              coalesce(min(k.image_id), -1) AS first_image, count(*) AS n_rows
        FROM cands_wards c FULL OUTER JOIN items_wards k USING (token) GROUP BY token""",
 )
 oracle(

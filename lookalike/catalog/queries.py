@@ -386,10 +386,17 @@ def token_heavy_hitters(spark, sf_dir):
 @query("fit_meta")
 def fit_meta(spark, sf_dir):
     _, fit = inputs.fitted(spark, sf_dir)
-    stats = fit.fit_stats.select(
-        "rounds", tidy("shift").alias("shift"), tidy("sse", 5).alias("sse")
-    )
-    return fit.centers.select("cluster_id", "n").unionByName(stats, allowMissingColumns=True)
+    value = lambda c: F.col(c).cast("double")
+    sizes = fit.centers.select(F.lit("n").alias("name"), "cluster_id", value("n").alias("value"))
+    facts = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), F.lit(-1).alias("cluster_id"), v.alias("value"))
+            for name, v in (
+                ("rounds", value("rounds")), ("shift", tidy("shift")), ("sse", tidy("sse", 5))
+            )
+        ]
+    )
+    return sizes.unionByName(fit.fit_stats.select(F.inline(facts)))
 
 
 @query("token_lookups")
@@ -596,7 +603,8 @@ def token_pair_groups(spark, sf_dir):
 
 @query("outer_token_groups")
 def outer_token_groups(spark, sf_dir):
-    return search.outer_token_groups(*_plain_tokens(spark, sf_dir, "ward"))
+    rows = search.outer_token_groups(*_plain_tokens(spark, sf_dir, "ward"))
+    return rows.fillna(-1, ["first_cand", "first_image"])
 
 
 @query("cluster_neighbors")

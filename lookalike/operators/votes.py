@@ -99,7 +99,8 @@ def represent(bags: DataFrame, owner: str, on: list[str], weight: str) -> tuple[
     )
     same = ["_h1", "_h2", "_n"]
     first = signed.groupBy(*same).agg(F.min(owner).alias("rep"))
-    members = signed.join(first, same).select(owner, "rep")
+    # short rows, read again wherever copies are named
+    members = cut_lineage(signed.join(first, same).select(owner, "rep"))
     chosen = members.where(F.col(owner) == F.col("rep")).select(owner)
     return members, bags.join(chosen, owner, "left_semi")
 

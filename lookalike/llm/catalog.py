@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import secrets, simhash
 from .common import documents
 
 
@@ -10,6 +10,10 @@ def op10_simhash_groups(spark, sf_dir):
     return simhash.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash_groups,)}
+def op2_secret_scan(spark, sf_dir):
+    return secrets.report(documents(spark, sf_dir))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op10_simhash_groups,)}
+
+ORACLES: dict[str, str] = {"op2_secret_scan": secrets.oracle()}

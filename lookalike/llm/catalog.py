@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets, simhash
+from . import quality_rules, secrets, simhash
 from .common import documents
 
 
@@ -14,6 +14,13 @@ def op2_secret_scan(spark, sf_dir):
     return secrets.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op10_simhash_groups,)}
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.report(documents(spark, sf_dir))
 
-ORACLES: dict[str, str] = {"op2_secret_scan": secrets.oracle()}
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_quality_rules, op10_simhash_groups,)}
+
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": secrets.oracle(),
+    "op5_quality_rules": quality_rules.oracle(),
+}

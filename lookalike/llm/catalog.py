@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secrets, simhash
+from . import mixing, quality_rules, secrets, simhash
 from .common import documents
 
 
@@ -18,7 +18,11 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op5_quality_rules, op10_simhash_groups,)}
+def op3_mix(spark, sf_dir):
+    return mixing.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix, op5_quality_rules, op10_simhash_groups,)}
 
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets.oracle(),

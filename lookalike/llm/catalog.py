@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets, simhash
+from . import bpe, mixing, quality_rules, secrets, simhash, token_counts
 from .common import documents
 
 
@@ -22,7 +22,15 @@ def op3_mix(spark, sf_dir):
     return mixing.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix, op5_quality_rules, op10_simhash_groups,)}
+def op4_bpe(spark, sf_dir):
+    return bpe.report(documents(spark, sf_dir))
+
+
+def op8_token_counts(spark, sf_dir):
+    return token_counts.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix, op4_bpe, op5_quality_rules, op8_token_counts, op10_simhash_groups,)}
 
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets.oracle(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, secrets, simhash, token_counts
+from . import bpe, mixing, quality_rules, secrets, simhash, token_counts, topk
 from .common import documents
 
 
@@ -26,13 +26,18 @@ def op4_bpe(spark, sf_dir):
     return bpe.report(documents(spark, sf_dir))
 
 
+def op6_top_k(spark, sf_dir):
+    return topk.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix, op4_bpe, op5_quality_rules, op8_token_counts, op10_simhash_groups,)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix, op4_bpe, op5_quality_rules, op6_top_k, op8_token_counts, op10_simhash_groups,)}
 
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets.oracle(),
     "op5_quality_rules": quality_rules.oracle(),
+    "op6_top_k": topk.oracle(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, secrets, simhash, token_counts, topk
+from . import bpe, classifier, mixing, quality_rules, secrets, simhash, token_counts, topk
 from .common import documents
 
 
@@ -30,11 +30,15 @@ def op6_top_k(spark, sf_dir):
     return topk.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix, op4_bpe, op5_quality_rules, op6_top_k, op8_token_counts, op10_simhash_groups,)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix, op4_bpe, op5_quality_rules, op6_top_k, op7_quality_classifier, op8_token_counts, op10_simhash_groups,)}
 
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets.oracle(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, language_model, mixing, quality_rules, secrets, simhash, token_counts, topk
+from . import bpe, classifier, language_model, mixing, quality_rules, repeats, secrets, simhash, token_counts, topk
 from .common import documents
 
 
@@ -10,6 +10,10 @@ def op10_simhash_groups(spark, sf_dir):
     return simhash.report(documents(spark, sf_dir))
 
 
+def op1_repeated_strings(spark, sf_dir):
+    return repeats.report(documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.report(documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op9_lm_score(spark, sf_dir):
     return language_model.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix, op4_bpe, op5_quality_rules, op6_top_k, op7_quality_classifier, op8_token_counts, op9_lm_score, op10_simhash_groups,)}
+QUERIES = {f.__name__: f for f in (op1_repeated_strings, op2_secret_scan, op3_mix, op4_bpe, op5_quality_rules, op6_top_k, op7_quality_classifier, op8_token_counts, op9_lm_score, op10_simhash_groups,)}
 
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets.oracle(),

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from ..sources.store import fresh_dir
 from .common import bounded_batches, whole
+from .packing import pack, unpack
 from .pretokens import pretokens, ragged
 
 SLICE_BYTES = 32 << 20
-LEVEL = 3
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -52,20 +52,6 @@ def _tables(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rows, special_tokens={}), of_id
 
 
-def _pack(values, kind) -> bytes:
-    import numpy as np
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(values, kind).tobytes())
-
-
-def _unpack(data: bytes, kind):
-    import numpy as np
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def _slices(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """Rows of two kinds: documents of a slice (bucket -1), and its words.
 
@@ -97,13 +83,13 @@ def _slices(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             by_bucket = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
             rows = [
-                (-1, batch.column(0), _pack(pc.list_value_length(pieces).to_numpy(), np.uint32),
-                 _pack(ranks[index], np.uint32), _pack(ranks[order[by_bucket]], np.uint32))
+                (-1, batch.column(0), pack(pc.list_value_length(pieces).to_numpy(), np.uint32),
+                 pack(ranks[index], np.uint32), pack(ranks[order[by_bucket]], np.uint32))
             ]
             for b in range(buckets):
                 own = [words[i] for i in by_bucket[cuts[b] : cuts[b + 1]]]
                 if own:
-                    rows.append((b, [], _pack([len(w) for w in own], np.uint32), _pack(np.frombuffer(b"".join(own), np.uint8), np.uint8), b""))
+                    rows.append((b, [], pack([len(w) for w in own], np.uint32), pack(np.frombuffer(b"".join(own), np.uint8), np.uint8), b""))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{part}-{number}"] * len(rows)),
@@ -119,6 +105,16 @@ def _slices(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, f"slice string, bucket int, ids array<{kind}>, a binary, b binary, c binary")
 
 
+def _stored(slices: DataFrame, buckets: int) -> DataFrame:
+    """Written once to the shared folder, in buckets by slice: what comes back
+    for a slice then meets it without moving it again."""
+    spark, place = slices.sparkSession, fresh_dir(slices.sparkSession, "bpe_slices")
+    table = place.rsplit("/", 1)[-1].replace("-", "_")
+    writer = slices.write.format("parquet").bucketBy(buckets, "slice").option("compression", "none")
+    writer.option("path", place).saveAsTable(table)
+    return spark.table(table)
+
+
 def encode(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -147,10 +143,8 @@ def _assembled(docs, id_col, text_col, ranks_path, pattern, digest) -> DataFrame
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path or path))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounded_batches(spark, SLICE_BYTES)
-    place = fresh_dir(spark, "bpe-slices")
     keyed = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("t"))
-    _slices(keyed, pattern, buckets).write.option("compression", "none").parquet(place)
-    stored = spark.read.parquet(place)
+    stored = _stored(_slices(keyed, pattern, buckets), buckets)
 
     def encode_bucket(table):
         import numpy as np
@@ -159,8 +153,8 @@ def _assembled(docs, id_col, text_col, ranks_path, pattern, digest) -> DataFrame
         encoder, _ = _tables(ranks.value, pattern)
         single, known, out = encoder._core_bpe.encode_single_piece, {}, []
         for sizes, letters in zip(table["a"].to_pylist(), table["b"].to_pylist()):
-            letters, at, counts, ids = _unpack(letters, np.uint8).tobytes(), 0, [], []
-            for size in _unpack(sizes, np.uint32).tolist():
+            letters, at, counts, ids = unpack(letters, np.uint8).tobytes(), 0, [], []
+            for size in unpack(sizes, np.uint32).tolist():
                 word = letters[at : at + size]
                 at += size
                 got = known.get(word)
@@ -168,7 +162,7 @@ def _assembled(docs, id_col, text_col, ranks_path, pattern, digest) -> DataFrame
                     got = known[word] = single(word)
                 counts.append(len(got))
                 ids += got
-            out.append((_pack(counts, np.uint32), _pack(ids, np.uint32)))
+            out.append((pack(counts, np.uint32), pack(ids, np.uint32)))
         return pa.table(
             {
                 "slice": table["slice"],
@@ -191,15 +185,15 @@ def _assembled(docs, id_col, text_col, ranks_path, pattern, digest) -> DataFrame
         bytes_of = of_id.__getitem__
         coded = coded.sort_by("bucket")
         empty = np.zeros(0, np.uint32)
-        counts = np.concatenate([empty, *[_unpack(c, np.uint32) for c in coded["counts"].to_pylist()]])
-        tokens = np.concatenate([empty, *[_unpack(t, np.uint32) for t in coded["tokens"].to_pylist()]])
+        counts = np.concatenate([empty, *[unpack(c, np.uint32) for c in coded["counts"].to_pylist()]])
+        tokens = np.concatenate([empty, *[unpack(t, np.uint32) for t in coded["tokens"].to_pylist()]])
         for row in slices.select(["a", "b", "c"]).to_pylist():
-            places = _unpack(row["c"], np.uint32)
+            places = unpack(row["c"], np.uint32)
             starts, lengths = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
             lengths[places] = counts
             starts[places] = np.cumsum(counts, dtype=np.int64) - counts
-            words, at, rows = _unpack(row["b"], np.uint32), 0, []
-            for n in _unpack(row["a"], np.uint32).tolist():
+            words, at, rows = unpack(row["b"], np.uint32), 0, []
+            for n in unpack(row["a"], np.uint32).tolist():
                 own = words[at : at + n]
                 at += n
                 ids = tokens[ragged(starts[own], lengths[own])]

@@ -1,7 +1,7 @@
 """The given tables in the roles the operators expect.
 
-A vector of ``embeddings`` is an 8x8 gray image, or a 7x3 image in red, green
-and blue; its altered copy is a candidate with a known answer. ``lineitem``
+A vector of ``embeddings`` is an 8x8 gray image, or an 8x8 image whose red,
+green and blue are the vector and the vector rotated twice; its altered copy is a candidate with a known answer. ``lineitem``
 is a large pixel table with one image per supplier. Every row takes part.
 """
 
@@ -55,12 +55,17 @@ def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = bind(F.col("e"), lambda e: F.array(*[F.slice(e, 1 + 21 * i, 21) for i in range(3)]))
+    bands = bind(F.col("e"), lambda e: F.array(*[rotated(e, F.lit(21 * i)) for i in range(3)]))
     return vectors(spark, sf_dir).select(
-        "image_id", F.lit(7).alias("width"), F.lit(3).alias("height"), bands.alias("bands")
+        "image_id", F.lit(8).alias("width"), F.lit(8).alias("height"), bands.alias("bands")
     )
 
 
+def rotated(e: Column, by: Column) -> Column:
+    """All values of a vector of 64, beginning at place ``by``."""
+    return F.concat(F.slice(e, by + 1, F.lit(64) - by), F.slice(e, F.lit(1), by))
+
+
 def byte_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coloured images with whole values 0..255."""
     as_byte = lambda v: F.floor((v + 1) * 127.5).cast("double")

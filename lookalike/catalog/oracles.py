@@ -49,11 +49,11 @@ def _described(source: str, name: str) -> dict[str, str]:
             FROM {name}_avg""",
         name: f"""
             SELECT image_id, e, bits,
-                   list_transform(range(0, 7), lambda i: md5(substr(bits, i * 8 + 1, 8))) AS phash,
-                   list_transform(range(0, 6), lambda i: md5(substr(bits, i * 10 + 1, 10))) AS ward
+                   list_transform(range(0, 8), lambda i: md5(substr(bits, i * 8 + 1, 8))) AS phash,
+                   list_transform(range(0, 7), lambda i: md5(substr(bits, i * 10 + 1, 10))) AS ward
             FROM {name}_bits""",
         f"{name}_grams": f"""
-            SELECT image_id, unnest(list_transform(range(1, 6),
+            SELECT image_id, unnest(list_transform(range(1, 8),
                    lambda i: phash[i] || '-' || phash[i + 1])) AS token
             FROM {name}""",
         f"{name}_wards": f"SELECT image_id, unnest(ward) AS token FROM {name}",
@@ -214,15 +214,15 @@ oracle(
 )
 oracle(
     "image_meta",
-    """SELECT image_id || '.png' AS name, 'PNG' AS format, 7 AS width, 3 AS height,
+    """SELECT image_id || '.png' AS name, 'PNG' AS format, 8 AS width, 8 AS height,
               3 AS n_channels, true AS is_valid FROM img""",
 )
 oracle(
     "pixel_rows",
-    """SELECT image_id || '.png' AS image_id, p AS pos, p % 7 AS x, p // 7 AS y,
-              floor((e[p + 1] + 1) * 127.5) AS r, floor((e[p + 22] + 1) * 127.5) AS g,
-              floor((e[p + 43] + 1) * 127.5) AS b
-       FROM img, range(21) t(p)""",
+    """SELECT image_id || '.png' AS image_id, p AS pos, p % 8 AS x, p // 8 AS y,
+              floor((e[p + 1] + 1) * 127.5) AS r, floor((e[(p + 21) % 64 + 1] + 1) * 127.5) AS g,
+              floor((e[(p + 42) % 64 + 1] + 1) * 127.5) AS b
+       FROM img, range(64) t(p)""",
 )
 oracle(
     "measures_io",
@@ -264,56 +264,56 @@ oracle(
 oracle(
     "select_quadrants",
     """SELECT image_id, sel_id, false AS is_full, w AS width, h AS height, p AS pos,
-              e[(r0 + p // w) * 7 + c0 + p % w + 1] AS v
-       FROM img, (VALUES (1, 0, 2, 0, 4), (2, 0, 2, 4, 3), (3, 2, 1, 0, 4), (4, 2, 1, 4, 3))
-            q(sel_id, r0, h, c0, w), range(8) t(p)
+              e[(r0 + p // w) * 8 + c0 + p % w + 1] AS v
+       FROM img, (VALUES (1, 0, 4, 0, 4), (2, 0, 4, 4, 4), (3, 4, 4, 0, 4), (4, 4, 4, 4, 4))
+            q(sel_id, r0, h, c0, w), range(16) t(p)
        WHERE p < w * h""",
 )
 oracle(
     "to_rgb",
     """SELECT image_id, band, pos,
-              CASE WHEN image_id % 4 + 1 >= 3 THEN e[band * 16 + pos + 1]
+              CASE WHEN image_id % 4 + 1 >= 3 THEN e[(band * 16 + pos) % 64 + 1]
                    ELSE e[pos + 1] / 3 END AS v
-       FROM img, range(3) b(band), range(16) t(pos)""",
+       FROM img, range(3) b(band), range(64) t(pos)""",
 )
-_RESIZE_COLS = 12  # int(5 * 7 / 3 + 0.5)
+_RESIZE_COLS = 5  # int(5 * 8 / 8 + 0.5)
 oracle(
     "resize",
-    f"""WITH rows AS (SELECT r, greatest(0, least(2, (r + 0.5) * 3 / 5 - 0.5)) AS s FROM range(5) t(r)),
-             cols AS (SELECT c, greatest(0, least(6, (c + 0.5) * 7 / {_RESIZE_COLS} - 0.5)) AS s
+    f"""WITH rows AS (SELECT r, greatest(0, least(7, (r + 0.5) * 8 / 5 - 0.5)) AS s FROM range(5) t(r)),
+             cols AS (SELECT c, greatest(0, least(7, (c + 0.5) * 8 / {_RESIZE_COLS} - 0.5)) AS s
                       FROM range({_RESIZE_COLS}) t(c)),
-             taps AS (SELECT r, c, floor(rows.s)::INT AS y0, least(floor(rows.s)::INT + 1, 2) AS y1,
+             taps AS (SELECT r, c, floor(rows.s)::INT AS y0, least(floor(rows.s)::INT + 1, 7) AS y1,
                              rows.s - floor(rows.s) AS ty, floor(cols.s)::INT AS x0,
-                             least(floor(cols.s)::INT + 1, 6) AS x1, cols.s - floor(cols.s) AS tx
+                             least(floor(cols.s)::INT + 1, 7) AS x1, cols.s - floor(cols.s) AS tx
                       FROM rows, cols)
         SELECT vec_id AS image_id, {_RESIZE_COLS} AS width, 5 AS height, band,
                r * {_RESIZE_COLS} + c AS pos,
                {tidy('''
-                 (e[band * 21 + y0 * 7 + x0 + 1] * (1 - tx) + e[band * 21 + y0 * 7 + x1 + 1] * tx)
+                 (e[(band * 21 + y0 * 8 + x0) % 64 + 1] * (1 - tx) + e[(band * 21 + y0 * 8 + x1) % 64 + 1] * tx)
                  * (1 - ty)
-                 + (e[band * 21 + y1 * 7 + x0 + 1] * (1 - tx)
-                    + e[band * 21 + y1 * 7 + x1 + 1] * tx) * ty''')} AS v
+                 + (e[(band * 21 + y1 * 8 + x0) % 64 + 1] * (1 - tx)
+                    + e[(band * 21 + y1 * 8 + x1) % 64 + 1] * tx) * ty''')} AS v
         FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(3) b(band), taps""",
 )
 _PERCENTILES = """
     (SELECT image_id, band * 7 + q AS pos,
-            quantile_cont(e[band * 21 + p + 1], [0.05, 0.15, 0.25, 0.5, 0.75, 0.85, 0.95])[q + 1] AS v
-     FROM img, range(3) b(band), range(21) t(p), range(7) k(q) GROUP BY image_id, band, q)"""
+            quantile_cont(e[(band * 21 + p) % 64 + 1], [0.05, 0.15, 0.25, 0.5, 0.75, 0.85, 0.95])[q + 1] AS v
+     FROM img, range(3) b(band), range(64) t(p), range(7) k(q) GROUP BY image_id, band, q)"""
 oracle("band_percentiles", f"SELECT image_id, pos, {tidy('v')} AS v FROM {_PERCENTILES}")
 oracle(
     "luminosity",
     f"""SELECT image_id, p AS pos,
-               {tidy('e[p + 1] * 0.21 + e[p + 22] * 0.72 + e[p + 43] * 0.07')} AS v
-        FROM img, range(21) t(p)""",
+               {tidy('e[p + 1] * 0.21 + e[(p + 21) % 64 + 1] * 0.72 + e[(p + 42) % 64 + 1] * 0.07')} AS v
+        FROM img, range(64) t(p)""",
 )
 oracle("phash_bits", "SELECT image_id, bits FROM items")
-oracle("phash_blocks", "SELECT image_id, p AS pos, phash[p + 1] AS token FROM items, range(7) t(p)")
+oracle("phash_blocks", "SELECT image_id, p AS pos, phash[p + 1] AS token FROM items, range(8) t(p)")
 oracle("phash_ngrams", "SELECT image_id, token FROM items_grams")
 oracle(
     "word_ngrams",
     r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'),
                           lambda x: x <> '') AS words FROM documents),
-             g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(words) - 2, 1)),
+             g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(words) - 1, 1)),
                           lambda i: words[i] || '-' || words[i + 1] || '-' || words[i + 2])) AS token
                    FROM w)
         SELECT token, count(*) AS n, min(doc_id) AS first_doc FROM g GROUP BY token""",
@@ -321,13 +321,13 @@ oracle(
 
 
 def _centroids(rounds: int) -> str:
-    """Parts for k-means of the 21 coloured pixels of every vector, k = 3."""
+    """Parts for k-means of the 64 coloured pixels of every vector, k = 3."""
     parts = [
         """cpx AS MATERIALIZED (
-             SELECT image_id, p, e[p + 1] AS r, e[p + 22] AS g, e[p + 43] AS b,
+             SELECT image_id, p, e[p + 1] AS r, e[(p + 21) % 64 + 1] AS g, e[(p + 42) % 64 + 1] AS b,
                     row_number() OVER (PARTITION BY image_id ORDER BY
                         md5('0|' || image_id || '|0|' || p), p) - 1 AS place
-             FROM img, range(21) t(p))""",
+             FROM img, range(64) t(p))""",
         "k0 AS MATERIALIZED (SELECT image_id, place AS i, r, g, b FROM cpx WHERE place < 3)",
     ]
     for n in range(rounds):
@@ -473,8 +473,11 @@ oracle("candidate_tokens", "SELECT kind, cand, 0 AS sel_id, pick, cluster_id, to
 oracle("join_on_cluster", "SELECT kind, cand, 0 AS sel_id, pick, cluster_id, token, n_b FROM weighed")
 oracle(
     "join_token_key",
-    """SELECT kind, token, cand, image_id, sum(n_b)::BIGINT AS n
-       FROM weighed JOIN known USING (kind, token) GROUP BY ALL""",
+    """SELECT kind, token, 'cand' AS side, cand AS id, sum(n_b)::BIGINT AS n
+       FROM weighed SEMI JOIN known USING (kind, token) GROUP BY ALL
+       UNION ALL
+       SELECT kind, token, 'image', image_id, count(*)
+       FROM known SEMI JOIN weighed USING (kind, token) GROUP BY ALL""",
 )
 oracle("vote_counts", "SELECT kind, cand, image_id, votes FROM votes")
 oracle("best_with_total", best("votes", "kind", "cand"))
@@ -519,8 +522,11 @@ oracle(
 )
 oracle(
     "token_pair_join",
-    """SELECT token, c.image_id AS cand, k.image_id, count(*) AS n
-       FROM cands_wards c JOIN items_wards k USING (token) GROUP BY ALL""",
+    """SELECT token, 'cand' AS side, image_id AS id, count(*) AS n
+       FROM cands_wards SEMI JOIN items_wards USING (token) GROUP BY ALL
+       UNION ALL
+       SELECT token, 'image', image_id, count(*)
+       FROM items_wards SEMI JOIN cands_wards USING (token) GROUP BY ALL""",
 )
 _SHARED = """(SELECT DISTINCT token FROM cands_wards JOIN items_wards USING (token)
               ORDER BY token LIMIT 4)"""
@@ -534,18 +540,14 @@ oracle(
 )
 oracle(
     "outer_token_groups",
-    """SELECT token, count(DISTINCT c.image_id) AS n_cand, count(DISTINCT k.image_id) AS n_image,
-              coalesce(min(c.image_id), -1) AS first_cand,
-              coalesce(min(k.image_id), -1) AS first_image, count(*) AS n_rows
-       FROM cands_wards c FULL OUTER JOIN items_wards k USING (token) GROUP BY token""",
+    """SELECT token, 'cand' AS side, image_id AS id, count(*) AS n FROM cands_wards GROUP BY ALL
+       UNION ALL
+       SELECT token, 'image', image_id, count(*) FROM items_wards GROUP BY ALL""",
 )
 oracle(
     "cluster_neighbors",
-    """SELECT cand, 0 AS sel_id, cluster_id, n_keys, first_key, last_key
-       FROM by_distance JOIN (
-         SELECT cluster_id, count(*) AS n_keys, min(image_id) AS first_key,
-                max(image_id) AS last_key FROM assigned GROUP BY cluster_id) m
-       USING (cluster_id)""",
+    """SELECT cluster_id, 'cand' AS side, cand AS id, 0 AS sel_id FROM by_distance
+       UNION ALL SELECT cluster_id, 'image', image_id, 0 FROM assigned""",
 )
 
 # --- altered copies ----------------------------------------------------------
@@ -608,8 +610,8 @@ oracle(
        ORDER BY band, bin, image_id""",
 )
 _MEDIANS = """
-    (SELECT image_id, band, quantile_cont(e[band * 21 + p + 1], 0.5) AS median
-     FROM img, range(3) b(band), range(21) t(p) GROUP BY image_id, band)"""
+    (SELECT image_id, band, quantile_cont(e[(band * 21 + p) % 64 + 1], 0.5) AS median
+     FROM img, range(3) b(band), range(64) t(p) GROUP BY image_id, band)"""
 oracle("histo_median", f"SELECT image_id, band, {tidy('median')} AS median FROM {_MEDIANS}")
 oracle(
     "lowest_by_median",

@@ -171,9 +171,9 @@ def select_quadrants(spark, sf_dir):
 @query("to_rgb")
 def to_rgb(spark, sf_dir):
     """Images of one to four bands in turn."""
-    count = (F.col("image_id") % 4 + 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(F.col("e"), i * 16 - 15, 16))
-    images = inputs.vectors(spark, sf_dir).select("image_id", cut.alias("bands"))
+    last = (F.col("image_id") % 4).cast("int")
+    turned = F.transform(F.sequence(F.lit(0), last), lambda i: inputs.rotated(F.col("e"), i * 16))
+    images = inputs.vectors(spark, sf_dir).select("image_id", turned.alias("bands"))
     rows = selections.to_rgb(images).select("image_id", F.posexplode("bands").alias("band", "b"))
     return rows.select("image_id", "band", F.posexplode("b").alias("pos", "v"))
 
@@ -236,7 +236,7 @@ def word_ngrams(spark, sf_dir):
 
 @query("color_centroids")
 def color_centroids(spark, sf_dir):
-    rows = measures.color_centroids(_rgb(spark, sf_dir), 3, 2, SETTINGS.kmeans_sample)
+    rows = measures.color_centroids(_rgb(spark, sf_dir), 3, 2)
     return values_at(rows, "cen", "image_id")
 
 
@@ -281,9 +281,8 @@ def region_tokens_query(spark, sf_dir):
 @query("feature_vector")
 def feature_vector(spark, sf_dir):
     whole = _rgb(spark, sf_dir)
-    cen = measures.color_centroids(whole, 3, 1, SETTINGS.kmeans_sample)
-    histo = measures.band_percentiles(whole, QUANTILES).select("image_id", "histo")
-    return values_at(measures.feature_vector(cen.join(histo, "image_id")), "features", "image_id")
+    rows = measures.band_percentiles(measures.color_centroids(whole, 3, 1), QUANTILES)
+    return values_at(measures.feature_vector(rows), "features", "image_id")
 
 
 @query("measure_images")
@@ -603,8 +602,7 @@ def token_pair_groups(spark, sf_dir):
 
 @query("outer_token_groups")
 def outer_token_groups(spark, sf_dir):
-    rows = search.outer_token_groups(*_plain_tokens(spark, sf_dir, "ward"))
-    return rows.fillna(-1, ["first_cand", "first_image"])
+    return search.outer_token_groups(*_plain_tokens(spark, sf_dir, "ward"))
 
 
 @query("cluster_neighbors")

@@ -30,7 +30,7 @@ ACTIONS = ("map_each_image", "kmeans", "find_similar")
 class Config:
     """All settings of measuring, clustering and searching.
 
-    Fixed values: the defaults are those of the batch job.
+    Nothing is left out by default: every file, pixel and token takes part.
     """
 
     # which steps to run, and where
@@ -38,8 +38,8 @@ class Config:
     root: str = ""
     test_name: str = "t4"
     candidate_batch: str = "c4"
-    input_glob: str = "*0.jpg"
-    candidate_glob: str = "*0.jpg"
+    input_glob: str = "*"
+    candidate_glob: str = "*"
     candidate_has_mapped: bool = False
 
     # selections
@@ -53,7 +53,8 @@ class Config:
     ward_x_down: int = 16
     phash_bits: int = 256
     phash_chunk_len: int = 2
-    kmeans_sample: int = 2000
+    # pixels of a selection that its centroids use; None: all
+    kmeans_sample: int | None = None
     max_iterations: int = 15
     n_clusters: int = 12
     ward_clusters: int = 5
@@ -63,7 +64,8 @@ class Config:
     n_clusters_group: int = 8
     max_iter_group: int = 3
     kmeans_group_converge: float | None = None
-    in_memory_set_len: int = 8_000_000
+    # counted tokens kept per group, for callers that ask for it; None: all
+    in_memory_set_len: int | None = None
     kmeans_output: tuple[str, ...] = field(default=LOOKUP_TABLES)
 
     # search
@@ -71,14 +73,11 @@ class Config:
     search_rounds: int = 1
     vote_mode: str = "weighted"
 
-    # perturbed copies
-    fuzz_block: int = 6
-    fuzz_probability: float = 0.14
-    fuzz_seed: int = 7
-
     @property
-    def token_caps(self) -> dict[str, int]:
+    def token_caps(self) -> dict[str, int] | None:
         """Largest number of counted tokens per group, for each token kind."""
+        if self.in_memory_set_len is None:
+            return None
         per_group = self.in_memory_set_len // self.n_clusters_group
         ward = per_group // 2
         return {"phash": per_group - ward, "ward": ward}

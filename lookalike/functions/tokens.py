@@ -36,10 +36,11 @@ def bits_at_mean(values: Column) -> Column:
     return bind(values, lambda v: bind(record(values=v, average=mean(v)), flags))
 
 
-def block_tokens(bits: Column, block_bits: int, keep_last: bool = False) -> Column:
+def block_tokens(bits: Column, block_bits: int, keep_last: bool = True) -> Column:
     """md5 of consecutive blocks of ``block_bits`` bits.
 
-    The last block, full or not, is left out unless ``keep_last``.
+    The last block may be shorter. Without ``keep_last`` it is left out, so
+    that short pictures have no token at all.
     """
 
     def hashes(text: Column) -> Column:
@@ -53,10 +54,10 @@ def block_tokens(bits: Column, block_bits: int, keep_last: bool = False) -> Colu
     return bind(bits, hashes)
 
 
-def token_ngrams(tokens: Column, length: int, keep_last: bool = False) -> Column:
+def token_ngrams(tokens: Column, length: int, keep_last: bool = True) -> Column:
     """Runs of ``length`` neighbouring tokens, each joined to one string.
 
-    N tokens give N - length runs; ``keep_last`` adds the final one.
+    N tokens give N - length + 1 runs, one less without ``keep_last``.
     """
     extra = 1 if keep_last else 0
 

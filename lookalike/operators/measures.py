@@ -3,17 +3,17 @@
 Percentiles, luminosity, hash tokens and principal components work on the
 wide row of one selection, whose size the resize step bounds, and need no
 shuffle. ``pixel_covariance`` is the same statistic for pixel tables whose
-groups have no bound. ``color_centroids`` is a grouped k-means.
+groups have no bound. ``color_centroids`` runs its rounds per row, in Arrow
+batches.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, mean, positions, quantile_of_sorted, record, total
+from ..functions.batches import with_column
 from ..functions.eigen import ENTRIES, eigen_symmetric3
 from ..functions.tokens import (
     LUMINOSITY_WEIGHTS,
@@ -22,7 +22,6 @@ from ..functions.tokens import (
     luminosity,
     token_ngrams,
 )
-from ..sources.store import cut_lineage
 from . import KEYS
 
 BANDS = ("r", "g", "b")
@@ -45,7 +44,7 @@ def phash_bits(selections: DataFrame, out: str = "bits") -> DataFrame:
 
 
 def phash_tokens(
-    selections: DataFrame, block_bits: int, keep_last: bool = False, out: str = "phash"
+    selections: DataFrame, block_bits: int, keep_last: bool = True, out: str = "phash"
 ) -> DataFrame:
     """Hash tokens of consecutive blocks of the bit string."""
     with_bits = phash_bits(selections, "_bits")
@@ -53,14 +52,14 @@ def phash_tokens(
 
 
 def ngram_rows(
-    items: DataFrame, tokens: str, length: int, *keys: str, keep_last: bool = False
+    items: DataFrame, tokens: str, length: int, *keys: str, keep_last: bool = True
 ) -> DataFrame:
     """One row per n-gram of a token array column."""
     return items.select(*keys, F.explode(token_ngrams(F.col(tokens), length, keep_last)).alias("token"))
 
 
 def word_ngram_rows(
-    documents: DataFrame, text: str, length: int, *keys: str, keep_last: bool = False
+    documents: DataFrame, text: str, length: int, *keys: str, keep_last: bool = True
 ) -> DataFrame:
     """One row per n-gram of a document's words; whole texts."""
     words = F.filter(F.split(text, WHITESPACE), lambda w: w != "")
@@ -129,91 +128,37 @@ def color_centroids(
     selections: DataFrame,
     k: int,
     rounds: int,
-    sample: int,
+    sample: int | None = None,
     seed: int = 0,
     keys: tuple[str, ...] = KEYS,
-    cut_every: int = 5,
+    out: str = "cen",
 ) -> DataFrame:
-    """K-means of the pixels inside every selection, all selections at once.
+    """Add ``out``: k-means of the pixels inside every selection, 3k numbers,
+    darkest centre first.
 
-    Seeds are the first k pixels in hash order out of at most ``sample``. The
-    selections are spread by key once; the joins and sums of every round then
-    find their rows in place. A centre without pixels stays where it is.
-    Result: keys and ``cen``, 3k numbers, darkest centre first.
+    Seeds are the first k pixels in hash order; ``sample`` asks for the first
+    so many pixels instead of all. A centre without pixels stays where it is.
+    The rounds run on the selection's own row, so nothing is shuffled.
     """
-    names = list(keys)
-    label = [F.lit(str(seed)), *[F.col(c).cast("string") for c in names]]
-
-    def hashed(bands: Column) -> Column:
-        return F.transform(
-            positions(F.size(F.get(bands, F.lit(0)))),
-            lambda i: record(
-                h=F.md5(F.concat_ws("|", *label, i.cast("string"))),
-                pos=i,
-                **{c: F.get(F.get(bands, F.lit(n)), i) for n, c in enumerate(BANDS)},
-            ),
-        )
-
-    # sampled before the shuffle, which every round then reads again as it is
-    drawn = selections.select(
-        *names, F.slice(F.array_sort(bind(F.col("bands"), hashed)), 1, sample).alias("_px")
-    ).repartition(*names)
-    last = F.size("_px") - 1
-    centers = drawn.select(
-        *names,
-        *[
-            F.get(F.col("_px"), F.least(F.lit(i), last))[c].alias(f"{c}{i}")
-            for i in range(k)
-            for c in BANDS
-        ],
-    )
-    pixels = drawn.select(*names, F.explode("_px").alias("p")).select(
-        *names, *[F.col(f"p.{c}").alias(c) for c in BANDS]
-    )
-    for done in range(1, rounds + 1):
-        centers = _centroid_round(pixels, centers, k, names)
-        if done % cut_every == 0 and done < rounds:
-            centers = cut_lineage(centers)
-
-    lum = lambda i: reduce(
-        lambda a, b: a + b,
-        [F.col(f"{c}{i}") * w for c, w in zip(BANDS, LUMINOSITY_WEIGHTS)],
-    )
-    ordered = F.array_sort(
-        F.array(
-            *[
-                F.struct(lum(i).alias("lum"), *[F.col(f"{c}{i}").alias(c) for c in BANDS])
-                for i in range(k)
-            ]
-        )
-    )
-    flat = F.flatten(F.transform(ordered, lambda s: F.array(*[s[c] for c in BANDS])))
-    return centers.select(*names, flat.alias("cen"))
-
-
-def _centroid_round(pixels: DataFrame, centers: DataFrame, k: int, names: list[str]) -> DataFrame:
-    def distance(i: int) -> Column:
-        return reduce(
-            lambda a, b: a + b,
-            [(F.col(c) - F.col(f"{c}{i}")) * (F.col(c) - F.col(f"{c}{i}")) for c in BANDS],
-        )
-
-    nearest = F.array_min(F.array(*[F.struct(distance(i), F.lit(i).alias("i")) for i in range(k)]))
-    means = (
-        pixels.join(centers, names)
-        .select(*names, nearest["i"].alias("i"), *BANDS)
-        .groupBy(*names, "i")
-        .agg(*[F.avg(c).alias(c) for c in BANDS])
-    )
-    moved = means.groupBy(*names).agg(
-        *[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"new_{c}{i}") for i in range(k) for c in BANDS]
-    )
-    return centers.join(moved, names).select(
-        *names,
-        *[
-            F.coalesce(f"new_{c}{i}", f"{c}{i}").alias(f"{c}{i}")
-            for i in range(k)
-            for c in BANDS
-        ],
-    )
-
+    label = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])
+    centroids = lambda name, bands: _centroids(name, bands, k, rounds, sample)
+    named = selections.withColumn("_label", label)
+    return with_column(named, out, "array<double>", centroids, "_label", "bands").drop("_label")
+
+
+def _centroids(label: str, bands, k: int, rounds: int, sample: int | None):
+    import hashlib
+
+    import numpy as np
+
+    pixels = np.stack([np.asarray(b, float) for b in bands[:3]], axis=1)
+    order = sorted(range(len(pixels)), key=lambda i: (hashlib.md5(f"{label}|{i}".encode()).digest(), i))
+    pixels = pixels[order[:sample]]
+    centers = pixels[[min(i, len(pixels) - 1) for i in range(k)]]
+    for _ in range(rounds):
+        near = ((pixels[:, None] - centers) ** 2).sum(-1).argmin(1)
+        counts = np.bincount(near, minlength=k)
+        sums = np.stack([np.bincount(near, weights=pixels[:, c], minlength=k) for c in range(3)], axis=1)
+        centers = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
+    r, g, b = LUMINOSITY_WEIGHTS
+    return np.concatenate(sorted(centers.tolist(), key=lambda c: (c[0] * r + c[1] * g + c[2] * b, c)))

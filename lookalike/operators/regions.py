@@ -1,29 +1,23 @@
 """Region tokens: merge neighbouring values of a selection into few regions,
 then hash the shape of each region.
 
-All selections advance together. In one round every region picks its cheapest
-neighbour, and pairs that picked each other merge; the cheapest edge of a
-selection is always such a pair, so every round makes progress. Merging many
-pairs per round can give another partition than one merge at a time would,
-but always the same one for the same values.
-
-Edges and member positions are rows of one table. Everything a round needs is
-a window or a grouping whose key starts with the selection, so after one
-shuffle by selection several rounds run in place before the table is stored
-again. A selection's lattice is bounded by the resize step, so no selection
-is large.
+In one round every region picks its cheapest neighbour, and pairs that picked
+each other merge; the cheapest edge of a selection is always such a pair, so
+every round makes progress. Merging many pairs per round can give another
+partition than one merge at a time would, but always the same one for the same
+values.
+
+A selection's lattice is bounded by the resize step and stays on its row: the
+rounds run in Arrow batches, and nothing is shuffled or stored in between.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, idiv, positions, record
-from ..sources.store import cut_lineage
-from . import KEYS
+from ..functions.batches import with_column
 
 
 def flat_values(selections: DataFrame, out: str = "values") -> DataFrame:
@@ -65,167 +59,85 @@ def _lattice_edges(width: Column, count: Column, adjacency: str) -> Column:
 def region_tokens(
     selections: DataFrame,
     regions: int = 5,
-    keys: tuple[str, ...] = KEYS,
     adjacency: str = "lattice",
-    partitions: int | None = None,
-    rounds_per_job: int = 4,
-    max_jobs: int = 1000,
+    out: str = "ward",
 ) -> DataFrame:
-    """Keys and ``ward``: one token per region, in order of first position.
+    """Add ``out``: one token per region, in order of first position.
 
-    A token hashes the member positions relative to the first one. Runs jobs
-    of a few rounds each until every selection is down to ``regions``;
-    selections that are done leave the table.
+    A token hashes the member positions relative to the first one.
     """
-    names = list(keys)
-    spark = selections.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    state = _first_state(selections, regions, names, adjacency)
-    done = []
-    for _ in range(max_jobs):
-        state = state.repartition(parts, *names)
-        for _ in range(rounds_per_job):
-            state = _merge_round(state, names)
-        state = cut_lineage(state)
-        done.append(state.where("todo <= 0").select(*names, "region", "pos"))
-        state = state.where("todo > 0")
-        if state.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"regions not merged after {max_jobs * rounds_per_job} rounds")
-
-    members = reduce(DataFrame.unionByName, done)
-    shapes = members.groupBy(*names, "region").agg(
-        F.min("pos").alias("first"), F.sort_array(F.collect_list("pos")).alias("spots")
-    )
-    relative = F.transform("spots", lambda p: (p - F.col("first")).cast("string"))
-    tokens = shapes.select(*names, "first", F.md5(F.array_join(relative, ",")).alias("token"))
-    return tokens.groupBy(*names).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("first", "token"))), lambda s: s["token"]
-        ).alias("ward")
-    )
-
-
-def _first_state(
-    selections: DataFrame, regions: int, names: list[str], adjacency: str
-) -> DataFrame:
-    """Every value its own region, as two kinds of rows.
+    wide = flat_values(selections, "_values")
+    edges = bind(F.col("_values"), lambda v: _lattice_edges(F.col("width"), F.size(v), adjacency))
+
+    wide = wide.withColumn("_edges", edges).withColumns({"_low": F.col("_edges.a"), "_high": F.col("_edges.b")})
+    tokens = lambda values, low, high: _shapes(_merged(values, low, high, regions))
+    found = with_column(wide.drop("_edges"), out, "array<string>", tokens, "_values", "_low", "_high")
+    return found.drop("_values", "_low", "_high")
 
-    An edge stands in two rows, one per end: the region, its size and mean,
-    and those of the other end. A member row has a region and a position.
-    ``todo`` is how many merges the selection still needs.
-    """
-    wide = flat_values(selections.select(*names, "width", "bands"))
-    nothing, no_number = F.lit(None).cast("int"), F.lit(None).cast("double")
-    one = F.lit(1.0)
-
-    def rows(s: Column) -> Column:
-        count = F.size(s["values"])
-
-        def both_ends(e: Column) -> Column:
-            a, b = F.get(s["values"], e["a"]), F.get(s["values"], e["b"])
-            return F.array(
-                row(e["a"], one, a, e["b"], one, b, nothing),
-                row(e["b"], one, b, e["a"], one, a, nothing),
-            )
-
-        pairs = _lattice_edges(s["width"], count, adjacency)
-        members = F.transform(
-            positions(count),
-            lambda p: row(p, no_number, no_number, nothing, no_number, no_number, p),
-        )
-        return F.concat(members, F.flatten(F.transform(pairs, both_ends)))
-
-    def row(region, n, mean, other, other_n, other_mean, pos) -> Column:
-        return record(
-            region=region, n=n, mean=mean,
-            other=other, other_n=other_n, other_mean=other_mean, pos=pos,
-        )
-
-    bound = bind(record(values=F.col("values"), width=F.col("width")), rows)
-    return wide.select(
-        *names, (F.size("values") - regions).alias("todo"), F.explode(bound).alias("row")
-    ).select(*names, "todo", "row.*")
-
-
-# One round as one statement: it is analysed once, not once per step.
-_ROUND = """
-WITH edges AS (
-    SELECT *,
-        IF(other IS NULL, NULL, least(region, other)) AS lo,
-        IF(other IS NULL, NULL, greatest(region, other)) AS hi
-    FROM {state}
-),
--- equal costs are told apart by a hash, or a flat image would merge one pair
--- per round
-chosen AS (
-    SELECT *,
-        IF(other IS NULL, NULL, struct(
-            n * other_n / (n + other_n) * (mean - other_mean) * (mean - other_mean) AS cost,
-            md5(concat_ws('|', lo, hi)) AS tie, lo, hi)) AS choice
-    FROM edges
-),
-picked AS (
-    SELECT *, choice = min(choice) OVER (PARTITION BY {{keys}}, region) AS is_pick FROM chosen
-),
-mutual AS (
-    SELECT * EXCEPT (choice, is_pick),
-        IF(sum(int(is_pick)) OVER (PARTITION BY {{keys}}, lo, hi) = 2, choice, NULL) AS pair
-    FROM picked
-),
--- at the end only as many of the cheapest pairs as still needed
-ranked AS (
-    SELECT *, dense_rank() OVER (PARTITION BY {{keys}} ORDER BY pair NULLS LAST) AS place
-    FROM mutual
-),
-merging AS (
-    SELECT * EXCEPT (pair, place, todo),
-        pair IS NOT NULL AND place <= todo AS merges,
-        todo - coalesce(
-            max(IF(pair IS NOT NULL AND place <= todo, place, NULL)) OVER (PARTITION BY {{keys}}),
-            0) AS todo
-    FROM ranked
-),
--- both ends work out the merged mean in the same order, lower region first
-renamed AS (
-    SELECT *,
-        max(IF(merges, struct(
-            lo AS region,
-            n + other_n AS n,
-            (IF(region = lo, n * mean, other_n * other_mean)
-             + IF(region = lo, other_n * other_mean, n * mean)) / (n + other_n) AS mean),
-            NULL)) OVER (PARTITION BY {{keys}}, region) AS new
-    FROM merging
-),
--- a row knows its own region's change; the other end's stands in the twin row
-both AS (
-    SELECT *,
-        max(IF(region = lo, new, NULL)) OVER (PARTITION BY {{keys}}, lo, hi) AS new_lo,
-        max(IF(region = hi, new, NULL)) OVER (PARTITION BY {{keys}}, lo, hi) AS new_hi
-    FROM renamed
-),
-moved AS (
-    SELECT {{keys}}, todo, pos,
-        coalesce(new.region, region) AS region,
-        IF(other IS NULL, NULL, coalesce(new.n, n)) AS n,
-        IF(other IS NULL, NULL, coalesce(new.mean, mean)) AS mean,
-        IF(other = lo, coalesce(new_lo.region, other), coalesce(new_hi.region, other)) AS other,
-        IF(other = lo, coalesce(new_lo.n, other_n), coalesce(new_hi.n, other_n)) AS other_n,
-        IF(other = lo, coalesce(new_lo.mean, other_mean), coalesce(new_hi.mean, other_mean))
-            AS other_mean
-    FROM both
-)
--- two merged regions may touch along several edges
-SELECT {{keys}}, region, other, pos, first(todo) AS todo, first(n) AS n, first(mean) AS mean,
-    first(other_n) AS other_n, first(other_mean) AS other_mean
-FROM moved
-WHERE other IS NULL OR (region <> other AND todo > 0)
-GROUP BY {{keys}}, region, other, pos
-"""
 
+def _merged(values, low, high, regions: int):
+    """The region of every position, named by its first one.
 
-def _merge_round(state: DataFrame, names: list[str]) -> DataFrame:
-    """Merge the pairs that are each other's cheapest neighbour."""
-    text = _ROUND.replace("{{keys}}", ", ".join(f"`{c}`" for c in names))
-    return state.sparkSession.sql(text, state=state)
+    An edge's order is (cost, hash of the two names, names); the hash tells
+    equal costs apart, or a flat image would merge one pair per round.
+    """
+    import numpy as np
+
+    count = len(values)
+    label, size, mean = np.arange(count), np.ones(count), np.array(values, float)
+    low, high = np.asarray(low, int), np.asarray(high, int)
+    todo = count - regions
+    while todo > 0 and len(low):
+        gap = mean[low] - mean[high]
+        cost = size[low] * size[high] / (size[low] + size[high]) * gap * gap
+        rank = np.empty(len(cost), int)
+        rank[_order(cost, low, high)] = np.arange(len(cost))
+        best = np.full(count, len(cost))
+        np.minimum.at(best, low, rank)
+        np.minimum.at(best, high, rank)
+        mutual = np.flatnonzero((best[low] == rank) & (best[high] == rank))
+        mutual = mutual[np.argsort(rank[mutual])][:todo]
+        a, b = low[mutual], high[mutual]
+        both = size[a] + size[b]
+        mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / both
+        size[a] = both
+        names = np.arange(count)
+        names[b] = a
+        label, low, high = names[label], names[low], names[high]
+        low, high = np.minimum(low, high), np.maximum(low, high)
+        # two merged regions may touch along several edges
+        pairs = np.unique((low * count + high)[low != high])
+        low, high = pairs // count, pairs % count
+        todo -= len(mutual)
+    return label
+
+
+def _order(cost, low, high):
+    """Places of the edges in their order; hashes only where costs are equal."""
+    import hashlib
+
+    import numpy as np
+
+    order = np.argsort(cost, kind="stable")
+    same = np.zeros(len(order), bool)
+    equal = cost[order][1:] == cost[order][:-1]
+    same[1:] |= equal
+    same[:-1] |= equal
+    tie = np.zeros(len(cost), "S32")
+    for e in order[same]:
+        tie[e] = hashlib.md5(f"{low[e]}|{high[e]}".encode()).hexdigest()
+    return np.lexsort((high, low, tie, cost))
+
+
+def _shapes(label) -> list[str]:
+    import hashlib
+
+    import numpy as np
+
+    places = np.argsort(label, kind="stable")
+    cuts = np.flatnonzero(np.diff(label[places])) + 1
+    members = [m for m in np.split(places, cuts) if len(m)]
+    return [
+        hashlib.md5(",".join(map(str, (m - m[0]).tolist())).encode()).hexdigest()
+        for m in sorted(members, key=lambda m: m[0])
+    ]

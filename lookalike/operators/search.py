@@ -17,7 +17,6 @@ from .cluster import KINDS, center_distances, nearest_center
 from .votes import HOT_FROM, best_with_total, weigh
 
 CAND_KEYS = ["cand", "sel_id"]
-PAIR_LIMIT = 1_000_000
 
 
 def as_candidates(measures: DataFrame) -> DataFrame:
@@ -111,97 +110,51 @@ def key_tokens(assigned: DataFrame, kind: str, ngram_length: int = 2) -> DataFra
     return assigned.select("image_id", "cluster_id", F.explode(tokens).alias("token"))
 
 
-def token_pairs(
-    cand_tokens: DataFrame,
-    known_tokens: DataFrame,
-    weight: str | None = None,
-    pair_limit: int = PAIR_LIMIT,
-) -> DataFrame:
-    """token, cand, image_id, n: candidate and known item share the token.
+def token_pairs(cand_tokens: DataFrame, known_tokens: DataFrame, weight: str | None = None) -> DataFrame:
+    """The join of candidates and known items on tokens, by its two sides:
+    token, side, id, n for every member of a token that both sides have.
 
-    A token with more than ``pair_limit`` pairs is given by its members, one
-    side per row and the other side null; its pairs are all combinations of
-    the two, with the product of their n. Nothing is left out.
+    The pairs of a token are all combinations of its sides, with the product
+    of their n; listing the sides says the same in a number of rows that grows
+    with the input and not with its square.
     """
     c = weigh(cand_tokens, "cand", ["token"], weight)
-    k = weigh(known_tokens, "image_id", ["token"]).withColumnRenamed("w", "m")
-    width_c = c.groupBy("token").agg(F.count("*").alias("_c"))
-    width_k = k.groupBy("token").agg(F.count("*").alias("_k"))
-    hot = width_c.join(width_k, "token").where(F.col("_c") * F.col("_k") > pair_limit).select("token")
-    pairs = (
-        c.join(hot, "token", "left_anti")
-        .join(k, "token")
-        .select("token", "cand", "image_id", (F.col("w") * F.col("m")).alias("n"))
-    )
-    nobody_c, nobody_k = c.schema["cand"].dataType, k.schema["image_id"].dataType
-    one_side = c.join(hot, "token", "left_semi").select(
-        "token", "cand", F.lit(None).cast(nobody_k).alias("image_id"), F.col("w").alias("n")
-    )
-    other_side = k.join(hot, "token", "left_semi").select(
-        "token", F.lit(None).cast(nobody_c).alias("cand"), "image_id", F.col("m").alias("n")
-    )
-    return pairs.unionByName(one_side).unionByName(other_side)
+    k = weigh(known_tokens, "image_id", ["token"])
+    return _sides(c.join(k, "token", "left_semi"), k.join(c, "token", "left_semi"))
 
 
-def token_pair_groups(cand_tokens: DataFrame, known_tokens: DataFrame, take: int = 4) -> DataFrame:
-    """Members of the first ``take`` shared tokens: token, side, id, n.
+def _sides(c: DataFrame, k: DataFrame) -> DataFrame:
+    sides = [
+        df.select("token", F.lit(side).alias("side"), F.col(owner).alias("id"), F.col("w").alias("n"))
+        for df, side, owner in ((c, "cand", "cand"), (k, "image", "image_id"))
+    ]
+    return sides[0].unionByName(sides[1])
 
-    A group's pairs are all combinations of its two sides, so listing the
-    sides says the same in far fewer rows.
-    """
+
+def token_pair_groups(cand_tokens: DataFrame, known_tokens: DataFrame, take: int = 4) -> DataFrame:
+    """Members of the first ``take`` shared tokens: token, side, id, n."""
     c = weigh(cand_tokens, "cand", ["token"])
     k = weigh(known_tokens, "image_id", ["token"])
     shared = (
         c.select("token").distinct().join(k.select("token").distinct(), "token")
         .orderBy("token").limit(take)
     )
-    sides = [
-        df.join(shared, "token", "left_semi").select(
-            "token", F.lit(side).alias("side"), F.col(owner).alias("id"), F.col("w").alias("n")
-        )
-        for df, side, owner in ((c, "cand", "cand"), (k, "image", "image_id"))
-    ]
-    return sides[0].unionByName(sides[1])
+    return _sides(c.join(shared, "token", "left_semi"), k.join(shared, "token", "left_semi"))
 
 
 def outer_token_groups(cand_tokens: DataFrame, known_tokens: DataFrame) -> DataFrame:
-    """Every token of either side with its members: how many candidates and
-    known items, the first of each, and the rows of the full outer join."""
-
-    def side(df: DataFrame, owner: str, name: str) -> DataFrame:
-        return weigh(df, owner, ["token"]).groupBy("token").agg(
-            F.count("*").alias(f"n_{name}"),
-            F.sum("w").alias(f"_{name}_rows"),
-            F.min(owner).alias(f"first_{name}"),
-        )
-
-    both = side(cand_tokens, "cand", "cand").join(
-        side(known_tokens, "image_id", "image"), "token", "full_outer"
-    )
-    return both.select(
-        "token",
-        F.coalesce("n_cand", F.lit(0)).alias("n_cand"),
-        F.coalesce("n_image", F.lit(0)).alias("n_image"),
-        "first_cand",
-        "first_image",
-        (F.coalesce("_cand_rows", F.lit(1)) * F.coalesce("_image_rows", F.lit(1))).alias("n_rows"),
-    )
+    """The full outer join on tokens by its sides: token, side, id, n for
+    every member of every token of either side."""
+    return _sides(weigh(cand_tokens, "cand", ["token"]), weigh(known_tokens, "image_id", ["token"]))
 
 
 def cluster_neighbors(cands: DataFrame, points, assigned: DataFrame) -> DataFrame:
-    """Each candidate's cluster with the number and range of keys in it.
-
-    The keys themselves are the rows of ``cluster_to_key`` for that cluster;
-    repeating them for every candidate would list all pairs of a cluster.
-    """
-    members = assigned.groupBy("cluster_id").agg(
-        F.count("*").alias("n_keys"),
-        F.min("image_id").alias("first_key"),
-        F.max("image_id").alias("last_key"),
+    """Candidates and known items of every cluster: cluster_id, side, id,
+    sel_id. A candidate's neighbours are the known items of its cluster."""
+    near = best_cluster_by_distance(cands, points)
+    return near.select("cluster_id", F.lit("cand").alias("side"), F.col("cand").alias("id"), "sel_id").unionByName(
+        assigned.select("cluster_id", F.lit("image").alias("side"), F.col("image_id").alias("id"), "sel_id")
     )
-    near = best_cluster_by_distance(cands, points).drop("distance")
-    # one row per cluster, at most k
-    return near.join(F.broadcast(members), "cluster_id")
 
 
 def match_pairs(matches: DataFrame, candidates: DataFrame, originals: DataFrame, payload: str) -> DataFrame:

@@ -66,8 +66,8 @@ def _window(sel_id, r0, c0, h, w) -> Column:
 
 
 def _patches(max_patches: int, fraction: tuple[float, float], seed: int) -> Column:
-    w = F.floor(F.col("width") * fraction[0])
-    h = F.floor(F.col("height") * fraction[1])
+    w = F.greatest(F.lit(1), F.floor(F.col("width") * fraction[0]))
+    h = F.greatest(F.lit(1), F.floor(F.col("height") * fraction[1]))
     rows, cols = F.col("height") - h + 1, F.col("width") - w + 1
 
     def patch(i: Column) -> Column:

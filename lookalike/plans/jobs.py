@@ -18,8 +18,9 @@ from ..operators.cluster import (
     token_cap,
 )
 from ..operators.lookups import token_lookups
-from ..operators.search import as_candidates
-from ..sources.images import image_bands, image_format, image_load, image_scan
+from ..operators.search import as_candidates, match_samples
+from ..operators.votes import final_matches
+from ..sources.images import image_bands, image_format, image_load, image_meta, image_scan
 from ..sources.store import RunStore
 from .measure import measure_images
 from .search import Matches, find_similar
@@ -37,40 +38,63 @@ def load_images(spark: SparkSession, folder: str, glob: str) -> tuple[DataFrame,
     return image_bands(image_load(spark, folder, glob)), facts
 
 
-def fit_clusters(measures: DataFrame, config: Config) -> tuple[Fit, DataFrame, DataFrame]:
-    """Model, items with their cluster, token counts per cluster."""
-    items = project_measures(measures).persist()
+def fit_clusters(measures: DataFrame, config: Config) -> tuple[Fit, DataFrame]:
+    """Model, and items with their cluster."""
+    items = project_measures(measures)
     fit = cluster_items(
         items,
         config.n_clusters_group,
         config.max_iter_group,
         config.kmeans_group_converge,
     )
-    assigned = nearest_center(items, fit.points)
-    counts = token_cap(cluster_token_counts(assigned), config.token_caps)
-    return fit, assigned, counts
+    return fit, nearest_center(items, fit.points)
 
 
-def save_clusters(store: RunStore, fit: Fit, assigned: DataFrame, counts: DataFrame) -> None:
-    """Centres, statistics, token counts and the chosen lookup tables."""
+def capped_counts(assigned: DataFrame, config: Config) -> DataFrame:
+    """Token counts per cluster, all of them unless a cap is asked for."""
+    counts = cluster_token_counts(assigned)
+    return token_cap(counts, config.token_caps) if config.token_caps else counts
+
+
+def save_clusters(store: RunStore, fit: Fit, assigned: DataFrame) -> None:
+    """Centres, statistics, items, token counts and the chosen lookup tables.
+
+    Items are stored first; everything counted is counted from there.
+    """
     store.save(fit.centers, store.cluster_path("cluster_center_meta"))
     store.save(fit.fit_stats, store.cluster_path("fit_stats"))
+    base = store.save(assigned, store.cluster_path("assigned"))
+    counts = capped_counts(base, store.config)
     for kind in ("phash", "ward"):
         store.save(counts.where(f"kind = '{kind}'"), store.cluster_path(f"{kind}_unions"))
-    base = store.save(assigned, store.cluster_path("assigned"))
     tables = token_lookups(base, store.config.kmeans_output, store.config.phash_chunk_len)
     for name, table in tables.items():
         store.save(table, store.cluster_path(name))
 
 
 def save_matches(store: RunStore, matches: Matches) -> None:
-    """Votes per kind, without repeating them for copies, and the winners."""
+    """Per kind the candidates' tokens, the winners and samples of them, and
+    both kinds side by side.
+
+    The tokens give the votes of any pair by way of the lookup tables; a list
+    of all pairs is not stored.
+    """
+    config, best = store.config, {}
     for kind in ("ward", "phash"):
-        votes, candidates, known = matches.bag_votes(kind)
-        store.save(votes, store.candidate_path(f"{kind}_to_key_counts"))
-        store.save(candidates, store.candidate_path(f"{kind}_candidate_copies"))
-        store.save(known, store.candidate_path(f"{kind}_key_copies"))
-    store.save(matches.joined(), store.candidate_path("joined_final_matches"))
+        store.save(matches.cand_tokens[kind], store.candidate_path(f"{kind}_candidate_tokens"))
+        best[kind] = store.save(matches.best(kind), store.candidate_path(f"{kind}_matches"))
+        samples = match_samples(best[kind], config.search_sample_step, "cand")
+        store.save(samples, store.candidate_path(f"{kind}_samples"))
+        if config.search_rounds > 1:
+            rounds = matches.rounds(kind, config.search_rounds)
+            store.save(rounds, store.candidate_path(f"{kind}_rounds"))
+    joined = final_matches(best["ward"], best["phash"])
+    store.save(joined, store.candidate_path("joined_final_matches"))
+
+
+def rejected_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """Files that cannot be decoded: image_id, length, format."""
+    return image_meta(spark, folder, glob).where("NOT is_valid").select("image_id", "length", "format")
 
 
 def run_actions(
@@ -94,13 +118,14 @@ def run_actions(
             seconds[action] = time.monotonic() - start
 
     def measure() -> None:
+        bad = rejected_files(spark, input_folder, config.input_glob)
+        store.save(bad, store.rejected_path())
         images, meta = load_images(spark, input_folder, config.input_glob)
         store.save(measure_images(images, config, meta=meta), store.measures_path())
 
     def cluster() -> None:
         measures = store.load(store.measures_path())
-        fit, assigned, counts = fit_clusters(measures, config)
-        save_clusters(store, fit, assigned, counts)
+        save_clusters(store, *fit_clusters(measures, config))
 
     def search() -> None:
         path = store.candidate_path("measures")
@@ -125,5 +150,7 @@ def candidate_measures(
     """Stored candidate measures, or new ones where there are none yet."""
     if config.candidate_has_mapped:
         return store.load(path)
+    bad = rejected_files(store.spark, folder, config.candidate_glob)
+    store.save(bad, store.candidate_path("rejected"))
     images, meta = load_images(store.spark, folder, config.candidate_glob)
     return store.save(measure_images(images, config, meta=meta), path)

@@ -17,7 +17,15 @@ from ..operators.measures import (
 )
 from ..operators.regions import region_tokens
 from ..operators.selections import resize, select_all, to_rgb
-from ..sources.store import cut_lineage
+
+
+def _with_regions(rows: DataFrame, config: Config) -> DataFrame:
+    """Region tokens of a still smaller copy, beside the row's own bands."""
+    own = ("width", "height", "bands")
+    kept = [F.col(c).alias(f"_{c}") for c in own]
+    smaller = resize(rows.select("*", *kept), config.ward_x_down)
+    marked = region_tokens(smaller, config.ward_clusters).drop(*own)
+    return marked.withColumnsRenamed({f"_{c}": c for c in own})
 
 
 def measure_images(
@@ -25,11 +33,9 @@ def measure_images(
 ) -> DataFrame:
     """One row of measures per selection.
 
-    ``images`` are decoded: image_id, width, height, bands. The scaled-down
-    selections are stored once, since three measures read them; percentiles,
-    tokens and components are then worked out without a shuffle, and the two
-    grouped measures join them by selection. ``meta`` (image_id and any other
-    columns) is carried along as a map.
+    ``images`` are decoded: image_id, width, height, bands. Every measure works
+    on the selection's own row, so nothing is shuffled. ``meta`` (image_id and
+    any other columns) is carried along as a map.
     """
     selections = to_rgb(
         select_all(
@@ -40,18 +46,12 @@ def measure_images(
             config.quadrants,
         )
     )
-    small = cut_lineage(resize(selections, config.x_down, value_range))
-    direct = band_percentiles(small, config.quantiles)
-    direct = phash_tokens(direct, config.phash_bits)
-    direct = pca_measures(band_covariance(direct))
-    centroids = color_centroids(
-        small, config.n_clusters, config.max_iterations, config.kmeans_sample
-    )
-    regions = region_tokens(resize(small, config.ward_x_down), config.ward_clusters)
-
-    keys = list(KEYS)
-    rows = direct.drop("bands", "cov").join(centroids, keys).join(regions, keys)
-    rows = feature_vector(rows)
+    rows = resize(selections, config.x_down, value_range)
+    rows = color_centroids(rows, config.n_clusters, config.max_iterations, config.kmeans_sample)
+    rows = _with_regions(rows, config)
+    rows = band_percentiles(rows, config.quantiles)
+    rows = phash_tokens(rows, config.phash_bits)
+    rows = feature_vector(pca_measures(band_covariance(rows)))
     if meta is not None:
         facts = [c for c in meta.columns if c != "image_id"]
         packed = F.create_map(

@@ -16,7 +16,7 @@ MAGIC_BYTES = {
 }
 
 
-def image_scan(spark: SparkSession, folder: str, glob: str = "*0.jpg") -> DataFrame:
+def image_scan(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Files of a folder that match ``glob``: path, length, content.
 
     The content of a file is read only where a query uses the column.
@@ -30,7 +30,7 @@ def image_scan(spark: SparkSession, folder: str, glob: str = "*0.jpg") -> DataFr
 
 
 def image_load(
-    spark: SparkSession, folder: str, glob: str = "*0.jpg", drop_invalid: bool = False
+    spark: SparkSession, folder: str, glob: str = "*", drop_invalid: bool = False
 ) -> DataFrame:
     """Decoded images: image_id, width, height, n_channels, data (BGR[A] rows).
 
@@ -61,7 +61,7 @@ def image_format(content: Column) -> Column:
     return chain
 
 
-def image_meta(spark: SparkSession, folder: str, glob: str = "*0.jpg") -> DataFrame:
+def image_meta(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Size, band count and format of every file.
 
     The pixel bytes are dropped before the two scans meet, so only short rows

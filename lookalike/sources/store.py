@@ -57,6 +57,9 @@ class RunStore:
     def measures_path(self) -> str:
         return f"{self.base}/map_each_image/measures"
 
+    def rejected_path(self) -> str:
+        return f"{self.base}/map_each_image/rejected"
+
     def cluster_path(self, table: str) -> str:
         return f"{self.base}/km/{table}"
 

@@ -43,15 +43,15 @@ def one(df, column):
     return df.select(column.alias("v")).first().v
 
 
-def test_blocks_and_ngrams_leave_the_last_out(spark):
+def test_blocks_and_ngrams_keep_the_last(spark):
     df = spark.range(1)
     blocks = lambda n, **k: one(df, block_tokens(F.lit("1" * n), 256, **k))
-    assert [len(blocks(n)) for n in (1152, 1024, 256, 100)] == [4, 3, 0, 0]
-    assert len(blocks(1024, keep_last=True)) == 4
+    assert [len(blocks(n)) for n in (1152, 1024, 256, 100)] == [5, 4, 1, 1]
+    assert [len(blocks(n, keep_last=False)) for n in (1152, 1024, 256)] == [4, 3, 0]
     letters = F.array(*[F.lit(c) for c in "abcd"])
-    assert one(df, token_ngrams(letters, 2)) == ["a-b", "b-c"]
-    assert one(df, token_ngrams(letters, 2, keep_last=True)) == ["a-b", "b-c", "c-d"]
-    assert one(df, token_ngrams(letters, 4)) == []
+    assert one(df, token_ngrams(letters, 2)) == ["a-b", "b-c", "c-d"]
+    assert one(df, token_ngrams(letters, 2, keep_last=False)) == ["a-b", "b-c"]
+    assert one(df, token_ngrams(letters, 4)) == ["a-b-c-d"]
     assert one(df, positions(F.lit(0))) == []
 
 
@@ -76,7 +76,7 @@ def test_phash_tokens(pictures):
         r, g, b = (np.array(x) for x in bands)
         light = 0.21 * r + 0.72 * g + 0.07 * b
         bits = "".join("1" if v >= light.mean() else "0" for v in light)
-        count = -(-len(bits) // 4) - 1
+        count = -(-len(bits) // 4)
         assert got[image] == [md5(bits[i * 4 : i * 4 + 4]) for i in range(count)]
 
 
@@ -177,7 +177,7 @@ def test_bands_become_three(spark):
 
 def test_centroids(pictures):
     rows, df = pictures
-    got = {r.image_id: r.cen for r in color_centroids(df, 3, 4, 12, cut_every=2).collect()}
+    got = {r.image_id: r.cen for r in color_centroids(df, 3, 4, 12).collect()}
     for image, sel, _, w, h, bands in rows:
         order = sorted(range(w * h), key=lambda p: (md5(f"0|{image}|{sel}|{p}"), p))[:12]
         px = np.array([[b[p] for b in bands] for p in order])
@@ -200,7 +200,7 @@ def test_regions_match_the_plain_version(spark, levels):
     ]
     rows.append((7, 0, True, 3, 3, [[2.0] * 9] * 3))
     df = spark.createDataFrame(rows, SELECTION)
-    got = {r.image_id: r.ward for r in region_tokens(df, 4, rounds_per_job=2).collect()}
+    got = {r.image_id: r.ward for r in region_tokens(df, 4).collect()}
     for image, _, _, w, h, bands in rows:
         values = [bands[i % 3][i // 3] for i in range(w * h * 3)]
         assert got[image] == regions(values, 4, lattice(w * h)), image

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,18 +105,18 @@ def test_final_matches_drop_candidates_with_one_kind(spark):
     assert [tuple(r) for r in final_matches(ward, phash).collect()] == [(2, 6, 1, 1, 7, 4, 9)]
 
 
-def test_hot_pairs_are_given_by_their_sides(sample):
+def test_sides_of_a_token_give_the_literal_pairs(sample):
     cand_df, known_df, cand, known = sample
-    whole = {tuple(r) for r in token_pairs(cand_df, known_df).collect()}
-    short = [tuple(r) for r in token_pairs(cand_df, known_df, pair_limit=20).collect()]
-    assert any(r[1] is None for r in short) and len(short) < len(whole)
-    rebuilt = {r for r in short if r[1] is not None and r[2] is not None}
-    sides = {r[0] for r in short if r[1] is None or r[2] is None}
-    for token in sides:
-        left = [(r[1], r[3]) for r in short if r[0] == token and r[1] is not None]
-        right = [(r[2], r[3]) for r in short if r[0] == token and r[2] is not None]
-        rebuilt |= {(token, c, k, n * m) for c, n in left for k, m in right}
-    assert rebuilt == whole
+    rows = [tuple(r) for r in token_pairs(cand_df, known_df).collect()]
+    sides = {s: [(t, i, n) for t, side, i, n in rows if side == s] for s in ("cand", "image")}
+    votes = Counter()
+    for token, c, n in sides["cand"]:
+        for other, k, m in sides["image"]:
+            if token == other:
+                votes[c, k] += n * m
+    want = {(r.cand, r.image_id): r.votes for r in vote_counts(cand_df, known_df).collect()}
+    assert dict(votes) == want
+    assert len(rows) <= len(cand) + len(known)
 
 
 def test_later_rounds_find_new_keys_only(sample):

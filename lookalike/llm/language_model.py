@@ -25,7 +25,8 @@ from ..sources.store import fresh_dir
 from .common import as_bytes, bounded_batches, held_out_rows, word_lists
 from .packing import pack, unpack
 
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
+SHARDS_A_PARTITION = 2
 DISCOUNT = 0.75
 MODULUS, REST = 7, 2
 BEGIN, END = 0, 1  # stand for hashes
@@ -172,13 +173,14 @@ def score(
     an empty one.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = SHARDS_A_PARTITION * partitions
     bounded_batches(spark, SLICE_BYTES)
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), held_out_rows(doc_id, modulus, rest).alias("out"), as_bytes(text_col).alias("t"))
     place = fresh_dir(spark, "lm_slices")
     table = place.rsplit("/", 1)[-1].replace("-", "_")
-    slices = _slices(rows, shards).write.format("parquet").bucketBy(shards, "slice")
+    slices = _slices(rows, shards).write.format("parquet").bucketBy(partitions, "slice")
     slices.option("compression", "none").option("path", place).saveAsTable(table)
 
     def answer(lists):

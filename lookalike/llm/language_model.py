@@ -87,7 +87,7 @@ def _slices(docs: DataFrame, shards: int) -> DataFrame:
             seen = np.bincount(inverse[taught], minlength=len(contexts))
             kinds = np.bincount(contexts, minlength=len(words))
             short = words[successors] & np.uint64((1 << WORD_BITS) - 1)
-            rows = [(-1, pack(words, np.uint64), pack(sizes, np.uint32), pack(stream, np.uint32), pack([begin], np.uint32), b"")]
+            rows = [(-1, b"", pack(sizes, np.uint32), pack(stream, np.uint32), pack([begin], np.uint32), b"")]
             cuts = np.searchsorted(words % np.uint64(shards), np.arange(shards + 1, dtype=np.uint64))
             ends = np.concatenate([[0], np.cumsum(kinds)])
             for s in range(shards):

@@ -43,8 +43,16 @@ SMALL = replace(
 
 
 def query(name: str):
+    """Register a query. Votes, decimal(38,0) in the operators, come as bigint."""
+
     def keep(function):
-        QUERIES[name] = function
+        def run(spark, sf_dir):
+            df = function(spark, sf_dir)
+            votes = [c for c, kind in df.dtypes if kind == "decimal(38,0)"]
+            return df.withColumns({c: F.col(c).cast("bigint") for c in votes}) if votes else df
+
+        run.__doc__ = function.__doc__
+        QUERIES[name] = run
         return function
 
     return keep

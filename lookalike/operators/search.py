@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import token_ngrams
 from ..sources.store import cut_lineage
 from .cluster import KINDS, center_distances, nearest_center
-from .votes import HOT_FROM, best_with_total, weigh
+from .votes import SEEDS, best_with_total, weigh
 
 CAND_KEYS = ["cand", "sel_id"]
 
@@ -176,14 +176,14 @@ def search_rounds(
     known_tokens: DataFrame,
     rounds: int = 1,
     weight: str | None = None,
-    hot_from: int = HOT_FROM,
+    seeds: int = SEEDS,
 ) -> DataFrame:
     """round, cand, best_match, agree_count, total.
 
     From the second round on, the keys found in the round before search among
     those not found yet.
     """
-    first = best_with_total(cand_tokens, known_tokens, weight=weight, hot_from=hot_from)
+    first = best_with_total(cand_tokens, known_tokens, weight=weight, seeds=seeds)
     results = [first.select(F.lit(1).alias("round"), "*")]
     if rounds > 1:
         results[0] = cut_lineage(results[0])
@@ -191,7 +191,7 @@ def search_rounds(
     for number in range(2, rounds + 1):
         asking = known_tokens.join(found, "image_id", "left_semi").withColumnRenamed("image_id", "cand")
         unseen = known_tokens.join(seen, "image_id", "left_anti")
-        found_now = best_with_total(asking, unseen, hot_from=hot_from)
+        found_now = best_with_total(asking, unseen, seeds=seeds)
         results.append(cut_lineage(found_now.select(F.lit(number).alias("round"), "*")))
         found = results[-1].select(F.col("best_match").alias("image_id")).distinct()
         seen = cut_lineage(seen.unionByName(found))

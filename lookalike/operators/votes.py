@@ -5,29 +5,30 @@ they occur:
 
     votes(cand, key) = sum over tokens of weight(cand, token) * count(token, key)
 
-``vote_counts`` lists every pair, ``votes_of_bags`` only those of different
-bags of tokens. ``best_with_total`` needs only the winner and the sum, and gets
-both without listing pairs for tokens that many items share:
+Votes are decimal(38,0): a weight and a count fit a bigint, their product may
+not. ``vote_counts`` lists every pair, ``votes_of_bags`` only those of
+different bags of tokens. ``best_with_total`` needs only the winner and the
+sum, and gets both without that list:
 
 * the sum comes from per-token totals, one row per token;
 * items with equal bags of tokens (copies) are represented by the one with
   the lowest key, which is also the one that wins among them;
-* tokens held by more than ``hot_from`` of the known items are set apart.
-  Rare tokens give candidate pairs, at most ``hot_from`` per candidate token.
-  Of the hot tokens alone, equal bags are again represented once, and their
-  scores are added to the pairs that rare tokens found. An item that shares
-  only hot tokens with the candidate scores just that, so the best of those
-  is the other contestant. The result is exact for any ``hot_from``.
+* a candidate's tokens are taken from rare to common. The items that hold most
+  of its rarest tokens are scored in full, and the best of them is a bound.
+  What all tokens from one on can give together is known from each token's
+  largest count; once that cannot beat the bound, these tokens lead to no item
+  any more and only add to the pairs that the tokens before them found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut_lineage
 
-HOT_FROM = 1000
+#: Rarest tokens of a candidate whose strongest item is scored for the bound.
+SEEDS = 4
 
 
 def weigh(tokens: DataFrame, owner: str, on: list[str], weight: str | None = None) -> DataFrame:
@@ -80,8 +81,16 @@ def vote_counts(
     )
 
 
+def _product(weight: str, count: str) -> Column:
+    return F.col(weight).cast("decimal(19,0)") * F.col(count).cast("decimal(19,0)")
+
+
+def _sum_votes() -> Column:
+    return F.sum(_product("w", "m")).cast("decimal(38,0)")
+
+
 def _pair_votes(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str) -> DataFrame:
-    return c.join(k, on).groupBy(cand, key).agg(F.sum(F.col("w") * F.col("m")).alias("votes"))
+    return c.join(k, on).groupBy(cand, key).agg(_sum_votes().alias("votes"))
 
 
 def represent(bags: DataFrame, owner: str, on: list[str], weight: str) -> tuple[DataFrame, DataFrame]:
@@ -120,28 +129,25 @@ def best_with_total(
     cand: str = "cand",
     key: str = "image_id",
     weight: str | None = None,
-    hot_from: int = HOT_FROM,
+    seeds: int = SEEDS,
 ) -> DataFrame:
-    """cand, best_match, agree_count, total: the winner without the pair list."""
+    """cand, best_match, agree_count, total: the winner without the pair list.
+
+    Exact for any ``seeds`` of 1 or more; more of them make the bound better.
+    """
     names = list(on)
     # both token tables are read several times below; store them once
-    c = cut_lineage(weigh(cand_tokens, cand, names, weight))
     k = cut_lineage(weigh(key_tokens, key, names))
     sums = k.groupBy(*names).agg(F.sum("w").alias("m"))
-    totals = c.join(sums, names).groupBy(cand).agg(F.sum(F.col("w") * F.col("m")).alias("total"))
+    # tokens that no item has change nothing, and would tell equal bags apart
+    c = cut_lineage(weigh(cand_tokens, cand, names, weight).join(sums, names))
+    totals = c.groupBy(cand).agg(_sum_votes().alias("total"))
 
-    cand_reps, c = represent(c, cand, names, "w")
+    cand_reps, c = represent(c.drop("m"), cand, names, "w")
     _, k = represent(k, key, names, "w")
-    c, k = cut_lineage(c), cut_lineage(k.withColumnRenamed("w", "m"))
-    hot = k.groupBy(*names).agg(F.count("*").alias("_df")).where(F.col("_df") > hot_from)
-    hot = cut_lineage(hot.select(*names))
-
-    if hot.isEmpty():
-        contest = _pair_votes(c, k, names, cand, key)
-    else:
-        contest = _contest_with_hot(c, k, hot, names, cand, key)
-    winners = _best(contest, cand, key, "votes").withColumnRenamed(cand, "rep")
-    return cand_reps.join(winners, "rep").join(totals, cand).select(
+    k = cut_lineage(k.withColumnRenamed("w", "m"))
+    winners = _best(_contest(c, k, names, cand, key, seeds), cand, key, "votes")
+    return cand_reps.join(winners.withColumnRenamed(cand, "rep"), "rep").join(totals, cand).select(
         cand,
         F.col(key).alias("best_match"),
         F.col("votes").alias("agree_count"),
@@ -149,43 +155,54 @@ def best_with_total(
     )
 
 
-def _contest_with_hot(
-    c: DataFrame, k: DataFrame, hot: DataFrame, on: list[str], cand: str, key: str
-) -> DataFrame:
-    """Pairs among which every candidate's winner is, with their full votes."""
-    rare = _pair_votes(c.join(hot, on, "left_anti"), k.join(hot, on, "left_anti"), on, cand, key)
-    hot_best, hot_scores, c_hot, k_hot = _hot_votes(
-        c.join(hot, on, "left_semi"), k.join(hot, on, "left_semi"), on, cand, key
-    )
-    raised = (
-        rare.join(c_hot, cand, "left")
-        .join(k_hot, key, "left")
-        .join(hot_scores, ["_c", "_k"], "left")
-        .select(cand, key, (F.col("votes") + F.coalesce("_hot", F.lit(0))).alias("votes"))
-    )
-    return raised.unionByName(hot_best)
+def _contest(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, seeds: int) -> DataFrame:
+    """Pairs among which every candidate's winner is, with their full votes.
 
-
-def _hot_votes(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str):
-    """Votes among the distinct bags of hot tokens only.
-
-    Returns the best item per candidate, the scores per pair of bags, and
-    which bag each candidate and each item has.
+    Of two items with equal votes the lower key wins. An item that reaches all
+    that a run of tokens can give has every token's largest count, so its key
+    is not below the lowest key with that count, of any of these tokens.
     """
-    c_members, c_bags = represent(c, cand, on, "w")
-    k_members, k_bags = represent(k, key, on, "m")
-    scores = _pair_votes(
-        c_bags.withColumnRenamed(cand, "_c"), k_bags.withColumnRenamed(key, "_k"), on, "_c", "_k"
-    ).withColumnRenamed("votes", "_hot")
-    scores = cut_lineage(scores)
-    c_members = c_members.withColumnRenamed("rep", "_c")
-    k_members = k_members.withColumnRenamed("rep", "_k")
-    best = (
-        _best(scores, "_c", "_k", "_hot")
-        .join(c_members, "_c")
-        .select(cand, F.col("_k").alias(key), F.col("_hot").alias("votes"))
+    strongest = F.min(F.struct((-F.col("m")).alias("m"), F.col(key).alias("k")))
+    facts = k.groupBy(*on).agg(F.count("*").alias("_df"), strongest.alias("_s"))
+    facts = facts.select(*on, "_df", (-F.col("_s.m")).alias("_top"), F.col("_s.k").alias("_who"))
+    order = Window.partitionBy(cand).orderBy("_df", *on)
+    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    tokens = cut_lineage(
+        c.join(facts, on).select(
+            cand, *on, "w", "_who",
+            F.row_number().over(order).alias("_place"),
+            F.sum(_product("w", "_top")).over(onward).alias("_left"),
+            F.max("_who").over(onward).alias("_lowest"),
+        )
+    )
+    plain = tokens.select(cand, *on, "w")
+    first = tokens.where(F.col("_place") <= seeds).select(cand, F.col("_who").alias(key)).distinct()
+    seeded = cut_lineage(
+        first.join(plain, cand).join(k, [key, *on]).groupBy(cand, key).agg(_sum_votes().alias("votes"))
     )
-    return best, scores, c_members, k_members
+    bound = _best(seeded.withColumnRenamed(key, "_by"), cand, "_by", "votes").withColumnRenamed("votes", "_bound")
+    more = (F.col("_left") > F.col("_bound")) | (
+        (F.col("_left") == F.col("_bound")) & (F.col("_lowest") < F.col("_by"))
+    )
+    marked = cut_lineage(tokens.join(bound, cand).withColumn("_leads", more))
+    rest = marked.where("NOT _leads")
+    found = _pair_votes(marked.where("_leads"), k, on, cand, key)
+    reach = rest.groupBy(cand).agg(F.max("_left").alias("_rest"))
+    hopeful = (
+        found.join(bound, cand)
+        .join(reach, cand, "left")
+        .where(F.col("votes") + F.coalesce("_rest", F.lit(0)) >= F.col("_bound"))
+        .select(cand, key, "votes")
+    )
+    hopeful = cut_lineage(hopeful)
+    added = (
+        hopeful.select(cand, key)
+        .join(rest.select(cand, *on, "w"), cand)
+        .join(k, [key, *on])
+        .select(cand, key, _product("w", "m").alias("votes"))
+    )
+    whole = hopeful.unionByName(added).groupBy(cand, key).agg(F.sum("votes").cast("decimal(38,0)").alias("votes"))
+    return whole.unionByName(seeded)
 
 
 def tagged(kinds: dict[str, DataFrame]) -> DataFrame:
@@ -200,7 +217,7 @@ def tagged(kinds: dict[str, DataFrame]) -> DataFrame:
 def best_of_votes(votes: DataFrame, cand: str = "cand", key: str = "image_id") -> DataFrame:
     """cand, best_match, agree_count, total from a stored pair list."""
     top = F.min(F.struct((-F.col("votes")).alias("v"), F.col(key).alias("k"))).alias("_top")
-    return votes.groupBy(cand).agg(top, F.sum("votes").alias("total")).select(
+    return votes.groupBy(cand).agg(top, F.sum("votes").cast("decimal(38,0)").alias("total")).select(
         cand, F.col("_top.k").alias("best_match"), (-F.col("_top.v")).alias("agree_count"), "total"
     )
 
@@ -210,7 +227,7 @@ def fused_votes(*votes: DataFrame, cand: str = "cand", key: str = "image_id") ->
     rows = votes[0].select(cand, key, "votes")
     for other in votes[1:]:
         rows = rows.unionByName(other.select(cand, key, "votes"))
-    return rows.groupBy(cand, key).agg(F.sum("votes").alias("votes"))
+    return rows.groupBy(cand, key).agg(F.sum("votes").cast("decimal(38,0)").alias("votes"))
 
 
 def final_matches(ward_best: DataFrame, phash_best: DataFrame, cand: str = "cand") -> DataFrame:
@@ -225,5 +242,3 @@ def final_matches(ward_best: DataFrame, phash_best: DataFrame, cand: str = "cand
         )
 
     return named(ward_best, "ward").join(named(phash_best, "phash"), cand, "inner")
-
-

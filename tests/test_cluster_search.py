@@ -97,7 +97,7 @@ def plain_search(rows, cands, points, mode):
         return int(np.argmin([sum((a - b) ** 2 for a, b in zip(f, p)) for p in points]))
 
     def grams(t):
-        return [f"{a}-{b}" for a, b in zip(t[:-2], t[1:-1])]
+        return [f"{a}-{b}" for a, b in zip(t, t[1:])]
 
     cluster = {(r[0], r[1]): near(r[2]) for r in rows}
     out = {}
@@ -157,19 +157,23 @@ def test_an_unchanged_item_votes_for_itself_in_strict_mode(items):
     assert own == {r[0] for r in rows}
 
 
-LIST_A, LIST_B = [(1, 1), (3, 3), (5, 10)], [(1, 2), (3, 4), (7, 12)]
+# a repeated key on one side, and null keys, which match nothing
+LIST_A, LIST_B = [(2, 20), (2, 21), (None, 22), (9, 23)], [(2, 30), (None, 31), (4, 32)]
+BOTH = {(2, 20, 30), (2, 21, 30)}
+ONLY_A = {(None, 22, None), (9, 23, None)}
+ONLY_B = {(None, None, 31), (4, None, 32)}
 
 
 @pytest.mark.parametrize(
     "left, how, expected",
     [
-        ("a", "inner", {(1, 1, 2), (3, 3, 4)}),
-        ("b", "inner", {(1, 1, 2), (3, 3, 4)}),
-        ("a", "right_outer", {(1, 1, 2), (3, 3, 4), (7, None, 12)}),
-        ("b", "left_outer", {(1, 1, 2), (3, 3, 4), (7, None, 12)}),
-        ("b", "right_outer", {(1, 1, 2), (3, 3, 4), (5, 10, None)}),
-        ("a", "left_outer", {(1, 1, 2), (3, 3, 4), (5, 10, None)}),
-        ("a", "full_outer", {(1, 1, 2), (3, 3, 4), (5, 10, None), (7, None, 12)}),
+        ("a", "inner", BOTH),
+        ("b", "inner", BOTH),
+        ("a", "right_outer", {*BOTH, *ONLY_B}),
+        ("b", "left_outer", {*BOTH, *ONLY_B}),
+        ("b", "right_outer", {*BOTH, *ONLY_A}),
+        ("a", "left_outer", {*BOTH, *ONLY_A}),
+        ("a", "full_outer", {*BOTH, *ONLY_A, *ONLY_B}),
     ],
 )
 def test_seven_joins(spark, left, how, expected):
@@ -179,11 +183,11 @@ def test_seven_joins(spark, left, how, expected):
     assert {(r.k, r.va, r.vb) for r in joined.collect()} == expected
 
 
-def test_word_count_of_the_four_sentences(spark):
-    texts = ["useful for RDDs", "RDDs are useful", "flatMap is useful", "map/reduce is also useful"]
+def test_word_count(spark):
+    texts = ["a red fox", "the fox saw a  hare", "", None, "Fox and hare"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    rows = [tuple(r) for r in word_count(df).collect()]
-    assert rows[0] == ("useful", 4) and dict(rows)["RDDs"] == 2 and len(rows) == 8
+    rows = dict(tuple(r) for r in word_count(df).collect())
+    assert {w: rows[w] for w in ("a", "fox", "hare", "Fox", "red")} == {"a": 2, "fox": 2, "hare": 2, "Fox": 1, "red": 1}
 
 
 def test_small_explorations(spark):

@@ -65,20 +65,50 @@ def test_votes_equal_the_literal_joins(spark):
     assert got == dict(expected)
     best = {
         r.cand: (r.best_match, r.agree_count, r.total)
-        for r in best_with_total(weighed, known_df, weight="n_b", hot_from=2).collect()
+        for r in best_with_total(weighed, known_df, weight="n_b", seeds=1).collect()
     }
     assert best == best_of(expected)
 
 
-@pytest.mark.parametrize("hot_from", [0, 1, 3, 10, 1000])
-def test_best_is_exact_however_many_tokens_are_hot(sample, hot_from):
+@pytest.mark.parametrize("seeds", [1, 4, 50])
+def test_best_is_exact_however_good_the_bound_is(sample, seeds):
     cand_df, known_df, cand, known = sample
-    got = best_with_total(cand_df, known_df, hot_from=hot_from).collect()
+    got = best_with_total(cand_df, known_df, seeds=seeds).collect()
     assert {r.cand: (r.best_match, r.agree_count, r.total) for r in got} == best_of(
         as_votes(cand, known)
     )
 
 
+@pytest.mark.parametrize("kinds, length, own", [(9, 4, 0), (16, 6, 0), (5, 3, 2)])
+def test_best_is_exact_among_different_bags_of_common_tokens(spark, kinds, length, own):
+    rng = random.Random(kinds)
+
+    def some(side, n):
+        return [
+            (t, owner)
+            for owner in range(n)
+            for t in [f"h{rng.randrange(kinds)}" for _ in range(length)]
+            + [f"{rng.choice(('c', 'k', side))}{owner % 60}-{i}" for i in range(own)]
+        ]
+
+    cand, known = some("c", 80), some("k", 150)
+    got = best_with_total(
+        spark.createDataFrame(cand, "token string, cand int"),
+        spark.createDataFrame(known, "token string, image_id int"),
+        seeds=2,
+    ).collect()
+    assert {r.cand: (r.best_match, r.agree_count, r.total) for r in got} == best_of(
+        as_votes(cand, known)
+    )
+
+
+def test_votes_beyond_a_bigint_are_exact(spark):
+    cand = spark.createDataFrame([(1, "t", 4 * 10**18), (1, "u", 1)], "cand int, token string, big long")
+    known = spark.createDataFrame([(7, "t")] * 5 + [(8, "u")], "image_id int, token string")
+    row = best_with_total(cand, known, weight="big").first()
+    assert tuple(row) == (1, 7, 2 * 10**19, 2 * 10**19 + 1)
+
+
 def test_best_of_stored_votes_is_the_same(sample):
     cand_df, known_df, cand, known = sample
     got = best_of_votes(vote_counts(cand_df, known_df)).collect()
@@ -121,7 +151,7 @@ def test_sides_of_a_token_give_the_literal_pairs(sample):
 
 def test_later_rounds_find_new_keys_only(sample):
     cand_df, known_df, _, _ = sample
-    rows = search_rounds(cand_df, known_df, rounds=3, hot_from=5).collect()
+    rows = search_rounds(cand_df, known_df, rounds=3).collect()
     first = {r.best_match for r in rows if r.round == 1}
     second = {r.best_match for r in rows if r.round == 2}
     third = {r.best_match for r in rows if r.round == 3}

@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, language_model, mixing, quality_rules, repeats, secrets, simhash, token_counts, topk
+from . import (
+    bpe,
+    classifier,
+    language_model,
+    mixing,
+    periodic,
+    quality_rules,
+    repeats,
+    secrets,
+    simhash,
+    token_counts,
+    topk,
+)
 from .common import documents
 
 
@@ -46,7 +58,26 @@ def op9_lm_score(spark, sf_dir):
     return language_model.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_strings, op2_secret_scan, op3_mix, op4_bpe, op5_quality_rules, op6_top_k, op7_quality_classifier, op8_token_counts, op9_lm_score, op10_simhash_groups,)}
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.report(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repeated_strings,
+        op2_secret_scan,
+        op3_mix,
+        op4_bpe,
+        op5_quality_rules,
+        op6_top_k,
+        op7_quality_classifier,
+        op8_token_counts,
+        op9_lm_score,
+        op10_simhash_groups,
+        op11_periodic_runs,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets.oracle(),

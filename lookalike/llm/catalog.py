@@ -9,11 +9,13 @@ from . import (
     mixing,
     periodic,
     quality_rules,
+    records,
     repeats,
     secrets,
     simhash,
     token_counts,
     topk,
+    whitening,
 )
 from .common import documents
 
@@ -62,6 +64,14 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic.report(documents(spark, sf_dir))
 
 
+def op12_token_records(spark, sf_dir):
+    return records.report(documents(spark, sf_dir))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +86,8 @@ QUERIES = {
         op9_lm_score,
         op10_simhash_groups,
         op11_periodic_runs,
+        op12_token_records,
+        op13_whitening,
     )
 }
 

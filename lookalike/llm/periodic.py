@@ -39,6 +39,9 @@ CORE = 1024
 #: Up to this S a tile's boundaries are solved together, one shift at a time.
 TOGETHER = 64
 BATCH = 8 << 20
+#: Words of tiles that a task gets, and the most tasks to deal them to.
+TASK_WORDS = 1 << 20
+MOST_TASKS = 20_000
 
 _TILES = "array<struct<octave:int,first:bigint,last:bigint,low:bigint,high:bigint>>"
 
@@ -253,13 +256,16 @@ def _prepared(docs: DataFrame, id_col, text_col, seed: Column | None, rewrite, k
 
 def _fragments(prepared: DataFrame, exponent: int) -> DataFrame:
     """(uid, period, a, b): every tile is a row of its own, dealt out evenly."""
+    size = F.aggregate("tiles", F.lit(0).cast("long"), lambda total, t: total + t["high"] - t["low"])
+    words = prepared.agg(F.sum(size)).first()[0] or 0
+    tasks = min(words // TASK_WORDS + 1, MOST_TASKS)
     tile = F.explode("tiles").alias("tile")
     width = ((F.col("tile.high") - F.col("tile.low")) * 4).cast("int")
     tiles = (
         prepared.where("plain IS NULL")
         .select("uid", "numbers", tile)
         .select("uid", "tile.*", F.substring("numbers", (F.col("tile.low") * 4 + 1).cast("int"), width).alias("words"))
-        .repartition("uid", "octave", "first")
+        .repartition(tasks, "uid", "octave", "first")
     )
 
     def run(batches):

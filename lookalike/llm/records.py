@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import fresh_dir
 from .common import as_bytes, bounded_batches, word_lists
+from .pretokens import ragged
 
 #: Fixed values of the format.
 MASK = 0xA282EAD8
@@ -44,7 +45,9 @@ END_ID = 2
 #: Bytes whose checksum is worked out alone; many at once, 8 bytes a step.
 CHUNK = 512
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Words that are looked up together.
+GROUP_WORDS = 200_000
 STRETCH = 16 << 20
 BATCH = 8 << 20
 
@@ -164,36 +167,111 @@ def _library(content: str):
     tokenizer = Tokenizer.from_str(content)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, {}
+    return tokenizer, Words(tokenizer) if drops_white_space(content) else None
 
 
-def _ids_of(texts: list[bytes], tokenizer, known: dict, by_word: bool):
-    """Token ids of each text, without special tokens added.
+class Words:
+    """Token ids of words, for a tokenizer that drops white space: a text's
+    ids are those of its words one after the other.
 
-    ``by_word``: the tokenizer drops white space, so that a text's ids are
-    those of its words one after the other; distinct words are encoded once.
+    Words of plain letters and marks go through the library many at once, with
+    a space between them: their pieces are known without it, and each piece
+    ends in a token that says so. All others are encoded one by one.
     """
+
+    #: Lower and upper case stay letters and do not join what follows.
+    LETTERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+    MARKS = r"!-&(-/:-;=-@\[-`{}~"
+
+    def __init__(self, tokenizer):
+        import re
+
+        import numpy as np
+
+        self.tokenizer = tokenizer
+        self.plain = re.compile(f"[{self.LETTERS}0-9{self.MARKS}]+").fullmatch
+        self.pieces = re.compile(f"[{self.LETTERS}]+|[0-9]|[{self.MARKS}]+").findall
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.clear()
+
+    def clear(self):
+        import numpy as np
+
+        self.places: dict[bytes, int] = {}
+        self.offsets = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def learn(self, words: list[bytes]) -> None:
+        import numpy as np
+
+        texts = [w.decode() for w in words]
+        plain = [self.plain(t) is not None for t in texts]
+        joined = [t for t, p in zip(texts, plain) if p]
+        alone = [t for t, p in zip(texts, plain) if not p]
+        coded = self.tokenizer.encode_batch_fast([" ".join(joined), *alone], add_special_tokens=False)
+        ids = np.asarray(coded[0].ids, np.uint32)
+        stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        pieces = np.fromiter((len(self.pieces(t)) for t in joined), np.int64, len(joined))
+        if int(pieces.sum()) != len(stops) - 1 or stops[-1] != len(ids):
+            raise AssertionError("pieces of plain words are not those of the library")
+        cuts = stops[np.concatenate([[0], np.cumsum(pieces)])]
+        others = [c.ids for c in coded[1:]]
+        ordered = [w for w, p in zip(words, plain) if p] + [w for w, p in zip(words, plain) if not p]
+        at = len(self.places)
+        self.places.update(zip(ordered, range(at, at + len(ordered))))
+        sizes = np.concatenate([np.diff(cuts), np.fromiter(map(len, others), np.int64, len(others))])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids, *[np.asarray(o, np.uint32) for o in others]])
+
+    def encode(self, words: list[bytes]):
+        """Ids of the words one after the other, and how many each one has."""
+        import numpy as np
+
+        known = self.places
+        fresh = [w for w in set(words) if w not in known]
+        if len(known) + len(fresh) > REMEMBERED:
+            self.clear()
+            known, fresh = self.places, list(set(words))
+        if fresh:
+            self.learn(fresh)
+        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        starts = self.offsets[place]
+        sizes = self.offsets[place + 1] - starts
+        return self.ids[ragged(starts, sizes)], sizes
+
+
+def _ids_of(texts: list[bytes], tokenizer, words: Words | None):
+    """Token ids of each text, without special tokens added; by words where
+    the tokenizer allows it (``Words``)."""
     import numpy as np
 
-    if not by_word:
+    if words is None:
         coded = tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.asarray(c.ids, np.uint32) for c in coded]
-    out = []
-    for text in texts:
-        parts = [np.zeros(0, np.uint32)]
-        for words in word_lists(text):
-            fresh = list({w for w in words if w not in known})
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(set(words))
-            coded = tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            known.update((w, c.ids) for w, c in zip(fresh, coded))
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            parts.append(np.asarray(ids, np.uint32))
-        out.append(np.concatenate(parts))
-    return out
+    parts: list[list] = [[] for _ in texts]
+    group, owners = [], []
+
+    def flush():
+        ids, sizes = words.encode(group)
+        ends = np.cumsum(sizes)
+        cuts = np.cumsum([n for _, n in owners])
+        for (text, _), piece in zip(owners, np.split(ids, ends[cuts - 1][:-1])):
+            parts[text].append(piece)
+        group.clear()
+        owners.clear()
+
+    for i, text in enumerate(texts):
+        for piece in word_lists(text):
+            if piece:
+                group += piece
+                owners.append((i, len(piece)))
+            if len(group) >= GROUP_WORDS:
+                flush()
+    if group:
+        flush()
+    return [np.concatenate([np.zeros(0, np.uint32), *p]) for p in parts]
 
 
 def drops_white_space(content: str) -> bool:
@@ -260,8 +338,7 @@ def write(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokenizer, known = _library(held.value)
-        by_word = drops_white_space(held.value)
+        tokenizer, words = _library(held.value)
         wide = max(tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         width = 4 if wide else 2
         kind, end = np.dtype(f"<u{width}"), np.asarray([end_id], np.uint32)
@@ -275,7 +352,7 @@ def write(
                 continue
             file = file or system.open_output_stream(f"{path}/{name}")
             keys = batch.column(0).to_pylist()
-            ids = [np.concatenate([i, end]) for i in _ids_of(batch.column(1).to_pylist(), tokenizer, known, by_word)]
+            ids = [np.concatenate([i, end]) for i in _ids_of(batch.column(1).to_pylist(), tokenizer, words)]
             records = frames(
                 [struct.pack(HEADER, k or 0, k is None, width) + i.astype(kind).tobytes() for k, i in zip(keys, ids)]
             )

@@ -1,6 +1,7 @@
 """Records, checksums, order and ids against the library itself."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -107,6 +108,25 @@ def test_words_alone_only_where_white_space_is_dropped():
         assert records.drops_white_space(file.read())
 
 
+def test_every_code_point_as_the_library_has_it():
+    tokenizer, words = records._library(open(records.default_tokenizer(), encoding="utf-8").read())
+    chars = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = [f"x{c}'s,{c}Z {c}1{c}\u0331" for c in chars]
+    got = records._ids_of([t.encode() for t in texts], tokenizer, words)
+    want = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, got, want) if g.tolist() != w.ids] == []
+
+
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(records, "REMEMBERED", 5)
+    monkeypatch.setattr(records, "GROUP_WORDS", 3)
+    tokenizer, _ = records._library(open(records.default_tokenizer(), encoding="utf-8").read())
+    words = records.Words(tokenizer)
+    some = [t or "" for t in texts()]
+    got = records._ids_of([t.encode() for t in some], tokenizer, words)
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_tokenizers_that_keep_white_space(spark):
     import public_tokenizers
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..sources.store import fresh_dir
 from .common import bounded_batches, whole
 from .packing import pack, unpack
-from .pretokens import pretokens, ragged
+from .pretokens import java_pattern, pretokens, ragged
 
 SLICE_BYTES = 32 << 20
 
@@ -100,7 +100,7 @@ def _slices(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 ["slice", "bucket", "ids", "a", "b", "c"],
             )
 
-    texts = docs.select(key, pretokens(F.col("t"), pattern).alias("pieces"))
+    texts = docs.select(key, pretokens(F.col("t"), java_pattern(docs.sparkSession, pattern)).alias("pieces"))
     kind = docs.schema[key].dataType.simpleString()
     return texts.mapInArrow(run, f"slice string, bucket int, ids array<{kind}>, a binary, b binary, c binary")
 

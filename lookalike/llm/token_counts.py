@@ -1,6 +1,6 @@
 """Token counts from a cache keyed by digests.
 
-A text is known by the SHA-256 of its bytes, a tokenizer by that of its file.
+A text is known by the SHA-256 of its bytes, a tokenizer by that of its file and pattern.
 Counts found in the cache under both are taken from there. Of the other texts
 every distinct one is encoded once, and its count is appended to the cache,
 from which all documents then get theirs.
@@ -18,18 +18,30 @@ from pyspark.sql import functions as F
 
 from ..sources.store import fresh_dir
 from .common import as_bytes, bounded_batches, whole
-from .pretokens import pretokens
+from .pretokens import java_pattern, pretokens, tokenizers_class
 
 LIMIT = 512
 #: Counts of distinct words that a Python worker remembers.
 REMEMBERED = 400_000
+#: Fixed value: what byte-level tokenizer files split by.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
 
 
-def default_tokenizer() -> tuple[str, str]:
+def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def own_pattern(content: str) -> str | None:
+    """The expression that a tokenizer file splits by, if its pieces may be
+    encoded one by one; None means that texts are encoded whole."""
+    spec = json.loads(content)
+    split = spec["pre_tokenizer"] or {}
+    byte_level = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["special"] for t in spec["added_tokens"])
+    return BYTE_LEVEL if byte_level and plain and spec["normalizer"] is None else None
 
 
 @lru_cache(maxsize=2)
@@ -59,9 +71,10 @@ def _pieces(text: Column, specials: list[str], pattern: str) -> Column:
     return F.when(found, split).otherwise(plain)
 
 
-def count_texts(texts: DataFrame, content: str, pattern: str) -> DataFrame:
+def count_texts(texts: DataFrame, content: str, pattern: str | None) -> DataFrame:
     """(digest, n_tokens) of every row (digest, t): the library encodes the
-    distinct pieces of a batch, and the counts are added up per text."""
+    distinct pieces of a batch, and the counts are added up per text. Without
+    a pattern a text is one piece."""
     spark = texts.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(content)
@@ -93,7 +106,11 @@ def count_texts(texts: DataFrame, content: str, pattern: str) -> DataFrame:
                 [batch.column(0), pa.array(running[ends] - running[starts], pa.int64())], ["digest", "n_tokens"]
             )
 
-    rows = texts.select("digest", _pieces(F.col("t"), specials, pattern).alias("pieces"))
+    if pattern is None:
+        pieces = F.array("t")
+    else:
+        pieces = _pieces(F.col("t"), specials, java_pattern(spark, pattern, tokenizers_class))
+    rows = texts.select("digest", pieces.alias("pieces"))
     return rows.mapInArrow(run, "digest string, n_tokens long")
 
 
@@ -111,13 +128,14 @@ def token_counts(
     and appended to. Null texts are empty and have no tokens; empty ones are
     cached like others. Ids may repeat or be null. Other columns are not read.
     An empty table gives an empty one. Special tokens inside texts count as
-    one token, as the library has it.
+    one token, as the library has it. Pieces are those of ``pattern``, or what
+    the tokenizer's file says; both are part of the version.
     """
     spark = docs.sparkSession
-    path, usual = default_tokenizer()
-    with open(tokenizer_path or path, encoding="utf-8") as file:
+    with open(tokenizer_path or default_tokenizer(), encoding="utf-8") as file:
         content = file.read()
-    version = hashlib.sha256(content.encode()).hexdigest()
+    pattern = pattern or own_pattern(content)
+    version = hashlib.sha256(f"{pattern}\n{content}".encode()).hexdigest()
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
 
     def cached() -> DataFrame:
@@ -128,7 +146,7 @@ def token_counts(
     digest = F.sha2(as_bytes(text_col), 256).alias("digest")
     texts = docs.select(digest, whole(text_col).alias("t"))
     misses = texts.join(cached().select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
-    counted = count_texts(misses, content, pattern or usual)
+    counted = count_texts(misses, content, pattern)
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), digest, F.octet_length(as_bytes(text_col)).cast("long").alias("n_bytes")

@@ -1,6 +1,7 @@
 """Encoding, decoding and counting against the libraries themselves."""
 
 import random
+import unicodedata
 
 import pytest
 import tiktoken
@@ -36,6 +37,43 @@ def test_ids_and_bytes_equal_the_library(spark, encoder):
     assert bpe.report(df.limit(0)).count() == 0
 
 
+def every_code_point(spark):
+    """Each one between letters, digits, marks and white space."""
+    chars = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = [f"{c}'s a{c}b 1{c}2 !{c}? {c} {c}{c}\n {c}x" for c in chars]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+
+def test_ids_of_every_code_point(spark, encoder):
+    texts, df = every_code_point(spark)
+    got = dict(bpe.encode(df).select("doc_id", "tokens").collect())
+    assert [t for i, t in enumerate(texts) if got[i] != encoder.encode_ordinary(t)] == []
+
+
+def test_counts_of_every_code_point(spark, tmp_path):
+    texts, df = every_code_point(spark)
+    library = Tokenizer.from_file(token_counts.default_tokenizer())
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, str(tmp_path / "cache")).collect()}
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for i, t in enumerate(texts) if got[i] != len(want[i])] == []
+
+
+def test_pattern_belongs_to_the_file(spark, tmp_path):
+    """A tokenizer that splits otherwise is used as it is, under its own version."""
+    import public_tokenizers
+
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "cache")
+    library = Tokenizer.from_file(path)
+    df = frame(spark)
+    want = sorted(str((r.doc_id, len(library.encode(r.text or "", add_special_tokens=False)))) for r in df.collect())
+    for _ in range(2):
+        got = token_counts.token_counts(df, cache, tokenizer_path=path).select("doc_id", "n_tokens").collect()
+        assert sorted(str(tuple(r)) for r in got) == want
+    usual = token_counts.token_counts(df, cache).select("doc_id", "n_tokens").collect()
+    assert sorted(str(tuple(r)) for r in usual) != want
+    assert spark.read.parquet(cache).select("version").distinct().count() == 2
+
+
 def test_other_vocabulary_is_a_parameter(spark):
     import public_tokenizers
 
@@ -46,7 +84,7 @@ def test_other_vocabulary_is_a_parameter(spark):
 
 
 def test_counts_equal_the_library(spark, tmp_path):
-    library = Tokenizer.from_file(token_counts.default_tokenizer()[0])
+    library = Tokenizer.from_file(token_counts.default_tokenizer())
     df = frame(spark)
     cache = str(tmp_path / "cache")
     got = sorted(map(str, token_counts.token_counts(df, cache).collect()))

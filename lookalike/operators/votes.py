@@ -17,7 +17,9 @@ sum, and gets both without that list:
   of its rarest tokens are scored in full, and the best of them is a bound.
   What all tokens from one on can give together is known from each token's
   largest count; once that cannot beat the bound, these tokens lead to no item
-  any more and only add to the pairs that the tokens before them found.
+  any more and only add to the pairs that the tokens before them found;
+* a candidate whose leading tokens are common, so that they lead to many items,
+  asks the blocks of ``token_index`` instead.
 """
 
 from __future__ import annotations
@@ -26,7 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut_lineage
+from .token_index import best_by_blocks, likely, signatures
 
+#: Rows that a candidate's leading tokens may lead to; it asks the index of
+#: blocks beyond. The result is the same either way.
+LEADS = 2_000
 #: Rarest tokens of a candidate whose strongest item is scored for the bound.
 SEEDS = 4
 
@@ -130,10 +136,12 @@ def best_with_total(
     key: str = "image_id",
     weight: str | None = None,
     seeds: int = SEEDS,
+    leads: int = LEADS,
 ) -> DataFrame:
     """cand, best_match, agree_count, total: the winner without the pair list.
 
-    Exact for any ``seeds`` of 1 or more; more of them make the bound better.
+    Exact for any ``seeds`` of 1 or more, which make the bound better, and for
+    any ``leads``. Null tokens agree with none.
     """
     names = list(on)
     # both token tables are read several times below; store them once
@@ -146,7 +154,7 @@ def best_with_total(
     cand_reps, c = represent(c.drop("m"), cand, names, "w")
     _, k = represent(k, key, names, "w")
     k = cut_lineage(k.withColumnRenamed("w", "m"))
-    winners = _best(_contest(c, k, names, cand, key, seeds), cand, key, "votes")
+    winners = _best(_contest(c, k, names, cand, key, seeds, leads), cand, key, "votes")
     return cand_reps.join(winners.withColumnRenamed(cand, "rep"), "rep").join(totals, cand).select(
         cand,
         F.col(key).alias("best_match"),
@@ -155,7 +163,7 @@ def best_with_total(
     )
 
 
-def _contest(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, seeds: int) -> DataFrame:
+def _contest(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, seeds: int, leads: int) -> DataFrame:
     """Pairs among which every candidate's winner is, with their full votes.
 
     Of two items with equal votes the lower key wins. An item that reaches all
@@ -164,27 +172,49 @@ def _contest(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, see
     """
     strongest = F.min(F.struct((-F.col("m")).alias("m"), F.col(key).alias("k")))
     facts = k.groupBy(*on).agg(F.count("*").alias("_df"), strongest.alias("_s"))
-    facts = facts.select(*on, "_df", (-F.col("_s.m")).alias("_top"), F.col("_s.k").alias("_who"))
+    facts = cut_lineage(
+        facts.select(
+            *on, "_df", (-F.col("_s.m")).alias("_top"), F.col("_s.k").alias("_who"),
+            F.monotonically_increasing_id().alias("_id"),
+        )
+    )
     order = Window.partitionBy(cand).orderBy("_df", *on)
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     tokens = cut_lineage(
         c.join(facts, on).select(
-            cand, *on, "w", "_who",
+            cand, *on, "w", "_who", "_df", "_id",
             F.row_number().over(order).alias("_place"),
             F.sum(_product("w", "_top")).over(onward).alias("_left"),
             F.max("_who").over(onward).alias("_lowest"),
         )
     )
     plain = tokens.select(cand, *on, "w")
-    first = tokens.where(F.col("_place") <= seeds).select(cand, F.col("_who").alias(key)).distinct()
+    signed = cut_lineage(signatures(k, key, on))
+    alike = likely(signatures(plain, cand, on), signed, cand, key)
+    first = tokens.where(F.col("_place") <= seeds).select(cand, F.col("_who").alias(key)).unionByName(alike).distinct()
     seeded = cut_lineage(
         first.join(plain, cand).join(k, [key, *on]).groupBy(cand, key).agg(_sum_votes().alias("votes"))
     )
     bound = _best(seeded.withColumnRenamed(key, "_by"), cand, "_by", "votes").withColumnRenamed("votes", "_bound")
+    bound = cut_lineage(bound)
     more = (F.col("_left") > F.col("_bound")) | (
         (F.col("_left") == F.col("_bound")) & (F.col("_lowest") < F.col("_by"))
     )
     marked = cut_lineage(tokens.join(bound, cand).withColumn("_leads", more))
+    far = cut_lineage(
+        marked.where("_leads").groupBy(cand).agg(F.sum("_df").alias("_to")).where(F.col("_to") > leads).select(cand)
+    )
+    near = marked.join(far, cand, "left_anti")
+    whole = seeded.unionByName(_by_lists(near, k, bound, on, cand, key))
+    if far.isEmpty():
+        return whole
+    numbered = k.join(facts.select(*on, "_id"), on).select(key, "_id", "m")
+    asking = marked.join(far, cand, "left_semi").select(cand, "_id", "w")
+    return whole.unionByName(best_by_blocks(cut_lineage(asking), cut_lineage(numbered), signed, bound, cand, key))
+
+
+def _by_lists(marked: DataFrame, k: DataFrame, bound: DataFrame, on: list[str], cand: str, key: str) -> DataFrame:
+    """Pairs that the leading tokens of ``marked`` find and that may win."""
     rest = marked.where("NOT _leads")
     found = _pair_votes(marked.where("_leads"), k, on, cand, key)
     reach = rest.groupBy(cand).agg(F.max("_left").alias("_rest"))
@@ -201,8 +231,7 @@ def _contest(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, see
         .join(k, [key, *on])
         .select(cand, key, _product("w", "m").alias("votes"))
     )
-    whole = hopeful.unionByName(added).groupBy(cand, key).agg(F.sum("votes").cast("decimal(38,0)").alias("votes"))
-    return whole.unionByName(seeded)
+    return hopeful.unionByName(added).groupBy(cand, key).agg(F.sum("votes").cast("decimal(38,0)").alias("votes"))
 
 
 def tagged(kinds: dict[str, DataFrame]) -> DataFrame:

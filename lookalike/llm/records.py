@@ -45,7 +45,7 @@ END_ID = 2
 #: Bytes whose checksum is worked out alone; many at once, 8 bytes a step.
 CHUNK = 512
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Words that are looked up together.
 GROUP_WORDS = 200_000
 STRETCH = 16 << 20
@@ -202,6 +202,21 @@ class Words:
         self.places: dict[bytes, int] = {}
         self.offsets = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.seen = np.zeros(0, np.int64)
+
+    def forget(self):
+        """Only words that came more than once stay; none if most did."""
+        import numpy as np
+
+        kept = np.flatnonzero(self.seen > 1)
+        if 2 * len(kept) > REMEMBERED:
+            return self.clear()
+        words = list(self.places)
+        sizes = np.diff(self.offsets)[kept]
+        self.ids = self.ids[ragged(self.offsets[kept], sizes)]
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self.places = {words[i]: place for place, i in enumerate(kept.tolist())}
+        self.seen = np.ones(len(kept), np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         import numpy as np
@@ -232,11 +247,13 @@ class Words:
         known = self.places
         fresh = [w for w in set(words) if w not in known]
         if len(known) + len(fresh) > REMEMBERED:
-            self.clear()
-            known, fresh = self.places, list(set(words))
+            self.forget()
+            known = self.places
+            fresh = [w for w in set(words) if w not in known]
         if fresh:
             self.learn(fresh)
         place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.seen = np.bincount(place, minlength=len(known)) + np.pad(self.seen, (0, len(known) - len(self.seen)))
         starts = self.offsets[place]
         sizes = self.offsets[place + 1] - starts
         return self.ids[ragged(starts, sizes)], sizes

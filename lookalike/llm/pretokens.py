@@ -60,6 +60,12 @@ def _ranges(points) -> str:
     return "".join(rf"\x{{{a:x}}}" if a == b else rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
 
 
+def _late(points) -> str:
+    """The same for many points that few texts have: one look at where they
+    begin spares the others a look at each range."""
+    return rf"[[\x{{{min(points):x}}}-\x{{10ffff}}]&&[{_ranges(points)}]]" if points else ""
+
+
 @lru_cache(maxsize=8)
 def java_pattern(spark: SparkSession, pattern: str, library: Callable[[str], frozenset[int]] = tiktoken_class) -> str:
     r"""``pattern`` for the JVM, with the library's white space, letters and
@@ -68,7 +74,7 @@ def java_pattern(spark: SparkSession, pattern: str, library: Callable[[str], fro
     inside, extra = {}, {}
     for name, java in zip((r"\p{L}", r"\p{N}"), _java_classes(spark)):
         own = library(name)
-        inside[name] = name + _ranges(own - java)
+        inside[name] = name + _late(own - java)
         extra[name] = _ranges(java - own)
     classes = {n: f"[{inside[n]}]" if not extra[n] else f"[{inside[n]}&&[^{extra[n]}]]" for n in inside}
     if any(extra.values()):

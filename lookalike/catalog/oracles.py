@@ -402,7 +402,10 @@ oracle(
 oracle("nearest_center", f"SELECT image_id, cluster_id, {tidy('distance')} AS distance FROM a0")
 _CENTER_ROWS = "SELECT cluster_id, n, p AS pos, {v} AS v FROM {source}, range(64) t(p)"
 oracle("lloyd_step", _CENTER_ROWS.format(source="c1", v=tidy("center[p + 1]")))
-oracle("cluster_items", _CENTER_ROWS.format(source="c2", v=tidy("center[p + 1]")))
+#: Final centres with the number of items nearest to them.
+_FINAL = """(SELECT c2.cluster_id, c2.center, coalesce(s.n, 0) AS n FROM c2 LEFT JOIN
+             (SELECT cluster_id, count(*) AS n FROM assigned GROUP BY ALL) s USING (cluster_id))"""
+oracle("cluster_items", _CENTER_ROWS.format(source=_FINAL, v=tidy("center[p + 1]")))
 oracle("center_shift", f"SELECT 2 AS rounds, {tidy('shift')} AS shift FROM shift")
 oracle("within_sse", f"SELECT count(*) AS n, {tidy('sum(distance)', 5)} AS sse FROM assigned")
 oracle("cluster_token_counts", "SELECT kind, cluster_id, token, n FROM counts")
@@ -417,12 +420,26 @@ oracle(
        QUALIFY row_number() OVER (PARTITION BY kind, cluster_id ORDER BY n DESC, token)
                <= CASE kind WHEN 'phash' THEN 40 ELSE 30 END""",
 )
+oracle(
+    "token_heavy_hitters",
+    """WITH t AS (SELECT cluster_id, token, n, ('0x' || substr(md5(token), 1, 8))::BIGINT % 4096 AS bucket
+                  FROM counts WHERE kind = 'ward'),
+            b AS (SELECT cluster_id, bucket, sum(n) AS most FROM t GROUP BY ALL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY most DESC, bucket) AS place FROM b),
+            f AS (SELECT t.cluster_id, token, n FROM t JOIN r USING (cluster_id, bucket) WHERE place <= 40
+                  QUALIFY row_number() OVER (PARTITION BY t.cluster_id ORDER BY n DESC, token) <= 10)
+       SELECT f.cluster_id, token, n,
+              greatest(0, coalesce(most, 0) - CASE WHEN count(*) OVER w < 10 THEN 0 ELSE min(n) OVER w END)::BIGINT
+              AS error
+       FROM f LEFT JOIN (SELECT cluster_id, most FROM r WHERE place = 41) USING (cluster_id)
+       WINDOW w AS (PARTITION BY f.cluster_id)""",
+)
 oracle(
     "fit_meta",
-    f"""SELECT 'n' AS name, cluster_id, n::DOUBLE AS value FROM c2
+    f"""SELECT 'n' AS name, cluster_id, n::DOUBLE AS value FROM {_FINAL}
         UNION ALL SELECT 'rounds', -1, 2.0
         UNION ALL SELECT 'shift', -1, {tidy('shift')} FROM shift
-        UNION ALL SELECT 'sse', -1, {tidy('sse', 5)} FROM fit_sse""",
+        UNION ALL SELECT 'sse', -1, {tidy('sum(distance)', 5)} FROM assigned""",
 )
 
 _KNOWN_PHASH = "(SELECT * FROM known WHERE kind = 'phash') k JOIN assigned a USING (image_id)"

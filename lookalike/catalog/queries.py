@@ -12,7 +12,7 @@ from ..config import LOOKUP_TABLES, Config
 from ..functions.tokens import luminosity, token_ngrams
 from ..operators import cluster, explore, lookups, measures, search, selections, votes
 from ..operators.perturb import block_median_fuzz
-from ..operators.ranking import group_percentiles
+from ..operators.ranking import band_percentile_rows
 from ..operators.regions import region_tokens
 from ..plans.jobs import candidate_measures, run_actions
 from ..plans.measure import measure_images
@@ -679,13 +679,7 @@ def inspect_type(spark, sf_dir):
 
 def _native_percentiles(spark, sf_dir) -> DataFrame:
     pixels = inputs.line_pixels(spark, sf_dir)
-    parts = [
-        group_percentiles(pixels, ["image_id"], band, NATIVE_QUANTILES, width).withColumn(
-            "band", F.lit(band)
-        )
-        for band, width in BUCKET_WIDTHS.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return band_percentile_rows(pixels, ["image_id"], BUCKET_WIDTHS, NATIVE_QUANTILES)
 
 
 @query("native_band_percentiles")

@@ -3,8 +3,8 @@
 Percentiles, luminosity, hash tokens and principal components work on the
 wide row of one selection, whose size the resize step bounds, and need no
 shuffle. ``pixel_covariance`` is the same statistic for pixel tables whose
-groups have no bound. ``color_centroids`` runs its rounds per row, in Arrow
-batches.
+groups have no bound. ``color_centroids`` runs its rounds as expressions over
+the arrays of a row, with bounds that spare most distances.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bind, mean, positions, quantile_of_sorted, record, total
-from ..functions.batches import with_column
 from ..functions.eigen import ENTRIES, eigen_symmetric3
 from ..functions.tokens import (
     LUMINOSITY_WEIGHTS,
@@ -141,24 +140,121 @@ def color_centroids(
     The rounds run on the selection's own row, so nothing is shuffled.
     """
     label = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])
-    centroids = lambda name, bands: _centroids(name, bands, k, rounds, sample)
-    named = selections.withColumn("_label", label)
-    return with_column(named, out, "array<double>", centroids, "_label", "bands").drop("_label")
+    pixels = F.transform(
+        positions(F.size(F.get(F.col("bands"), F.lit(0)))),
+        lambda i: record(**{c: F.get(F.get(F.col("bands"), F.lit(n)), i).cast("double") for n, c in enumerate(BANDS)}),
+    )
+    ordered = bind(record(label=label, pixels=pixels), lambda p: _in_hash_order(p, k, sample))
+    return selections.withColumn(out, bind(ordered, lambda p: _lloyd(p["pixels"], p["seeds"], rounds)))
+
+
+def _in_hash_order(given: Column, k: int, sample: int | None) -> Column:
+    """The pixels (the first ``sample`` in hash order), and k seeds: the first
+    ones, the last of them repeated where there are too few."""
+    places = F.sort_array(
+        F.transform(
+            positions(F.size(given["pixels"])),
+            lambda i: record(h=F.md5(F.concat_ws("|", given["label"], i.cast("string"))), i=i),
+        )
+    )
+
+    def chosen(order: Column) -> Column:
+        taken = lambda most: F.transform(F.slice(order, 1, most), lambda o: F.get(given["pixels"], o["i"]))
+        seeds = bind(taken(k), lambda s: F.transform(positions(F.lit(k)), lambda i: F.get(s, F.least(i, F.size(s) - 1))))
+        return record(pixels=given["pixels"] if sample is None else taken(sample), seeds=seeds)
+
+    return bind(places, chosen)
 
 
-def _centroids(label: str, bands, k: int, rounds: int, sample: int | None):
-    import hashlib
+#: More than any distance between colours.
+_FAR = 1e300
 
-    import numpy as np
 
-    pixels = np.stack([np.asarray(b, float) for b in bands[:3]], axis=1)
-    order = sorted(range(len(pixels)), key=lambda i: (hashlib.md5(f"{label}|{i}".encode()).digest(), i))
-    pixels = pixels[order[:sample]]
-    centers = pixels[[min(i, len(pixels) - 1) for i in range(k)]]
-    for _ in range(rounds):
-        near = ((pixels[:, None] - centers) ** 2).sum(-1).argmin(1)
-        counts = np.bincount(near, minlength=k)
-        sums = np.stack([np.bincount(near, weights=pixels[:, c], minlength=k) for c in range(3)], axis=1)
-        centers = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
+def _lloyd(pixels: Column, seeds: Column, rounds: int) -> Column:
+    """Centres after ``rounds``, darkest first, as one array.
+
+    Every pixel keeps its centre, at most how far that is, and at least how far
+    any other one is. Centres that move shift these bounds; while they do not
+    meet, no distance of the pixel is worked out. When no centre moves any
+    more, the rounds left change nothing and are passed over.
+    """
+    start = record(
+        centers=seeds,
+        near=F.transform(pixels, lambda p: record(i=F.lit(0), most=F.lit(_FAR), least=F.lit(0.0))),
+        shifts=F.transform(seeds, lambda c: F.lit(0.0)),
+        moved=F.lit(True),
+    )
+
+    def turn(state: Column, _) -> Column:
+        moved = bind(
+            F.array_max(state["shifts"]),
+            lambda reach: bind(
+                F.zip_with(pixels, state["near"], lambda p, n: _nearest(p, n, state["centers"], state["shifts"], reach)),
+                lambda near: _means(pixels, near, state["centers"]),
+            ),
+        )
+        return F.when(state["moved"], moved).otherwise(state)
+
+    last = F.aggregate(positions(F.lit(rounds)), start, turn)["centers"]
     r, g, b = LUMINOSITY_WEIGHTS
-    return np.concatenate(sorted(centers.tolist(), key=lambda c: (c[0] * r + c[1] * g + c[2] * b, c)))
+    ranked = F.transform(
+        last, lambda c: record(light=c["r"] * r + c["g"] * g + c["b"] * b, r=c["r"], g=c["g"], b=c["b"])
+    )
+    values = F.transform(F.sort_array(ranked), lambda c: F.array(c["r"], c["g"], c["b"]))
+    return F.when(F.size(pixels) > 0, F.flatten(values)).otherwise(F.array().cast("array<double>"))
+
+
+def _nearest(pixel: Column, near: Column, centers: Column, shifts: Column, reach: Column) -> Column:
+    """The pixel's centre and bounds; the first centre wins a tie."""
+
+    def measured(distances: Column) -> Column:
+        ordered = F.sort_array(distances)
+        return bind(
+            ordered,
+            lambda o: record(
+                i=F.array_position(distances, F.get(o, F.lit(0))).cast("int") - 1,
+                most=F.sqrt(F.get(o, F.lit(0))),
+                least=F.sqrt(F.coalesce(F.get(o, F.lit(1)), F.lit(_FAR))),
+            ),
+        )
+
+    squares = F.transform(
+        centers,
+        lambda c: (pixel["r"] - c["r"]) * (pixel["r"] - c["r"])
+        + (pixel["g"] - c["g"]) * (pixel["g"] - c["g"])
+        + (pixel["b"] - c["b"]) * (pixel["b"] - c["b"]),
+    )
+    # the share spared covers the rounding of the bounds
+    bounds = record(i=near["i"], most=near["most"] + F.get(shifts, near["i"]), least=near["least"] - reach)
+    return bind(
+        bounds, lambda n: F.when(n["most"] < n["least"] * (1 - 1e-9), n).otherwise(bind(squares, measured))
+    )
+
+
+def _means(pixels: Column, near: Column, centers: Column) -> Column:
+    """The state after moving every centre to the mean of its pixels; one
+    without pixels stays."""
+
+    def center(old: Column, i: Column) -> Column:
+        own = F.filter(pixels, lambda p, n: F.get(near, n)["i"] == i)
+        return bind(
+            own,
+            lambda mine: F.when(
+                F.size(mine) > 0,
+                record(**{c: total(F.transform(mine, lambda p: p[c])) / F.size(mine) for c in BANDS}),
+            ).otherwise(old),
+        )
+
+    def state(new: Column) -> Column:
+        shifts = F.zip_with(
+            centers,
+            new,
+            lambda a, c: F.sqrt(
+                (a["r"] - c["r"]) * (a["r"] - c["r"])
+                + (a["g"] - c["g"]) * (a["g"] - c["g"])
+                + (a["b"] - c["b"]) * (a["b"] - c["b"])
+            ),
+        )
+        return bind(shifts, lambda s: record(centers=new, near=near, shifts=s, moved=F.array_max(s) > 0))
+
+    return bind(F.transform(centers, center), state)

@@ -18,7 +18,7 @@ def block_median_fuzz(
     """Replace random blocks by their median, band by band.
 
     Each ``block`` x ``block`` square is replaced with ``probability``, in
-    all bands or none. The last block of each axis is left alone. A block's
+    all three colours or none; a fourth band (alpha) stays as it is. The last block of each axis is left alone. A block's
     median is worked out once and only for blocks that are replaced.
     ``whole_numbers`` cuts medians down to integers, as byte images need.
     Narrow: an image never leaves its partition.
@@ -40,7 +40,9 @@ def block_median_fuzz(
         chosen = F.transform(positions(im["across"] * im["down"]), is_chosen)
         return bind(
             record(im=im, chosen=chosen),
-            lambda s: F.transform(s["im"]["bands"], lambda band: alter_band(s, band)),
+            lambda s: F.transform(
+                s["im"]["bands"], lambda band, i: F.when(i < 3, alter_band(s, band)).otherwise(band)
+            ),
         )
 
     def alter_band(s: Column, band: Column) -> Column:

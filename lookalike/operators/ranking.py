@@ -31,18 +31,41 @@ def bucket_offsets(
 def group_percentiles(
     rows: DataFrame, group: list[str], value: str, quantiles, bucket_width: float
 ) -> DataFrame:
-    """Exact interpolated percentiles (0..100) of ``value`` per group.
+    """Exact interpolated percentiles (0..100) of ``value`` per group: group
+    columns, ``q`` and ``pct``."""
+    return band_percentile_rows(rows, group, {value: bucket_width}, quantiles).drop("band")
 
-    Equal values are counted before anything else, values are bucketed by
-    ``bucket_width``, and only buckets that hold a wanted rank are looked
-    into. Result: group columns, ``q`` and ``pct``.
+
+def band_percentile_rows(
+    rows: DataFrame, group: list[str], bucket_widths: dict[str, float], quantiles
+) -> DataFrame:
+    """Exact interpolated percentiles (0..100) of several columns per group, in
+    one pass over ``rows``.
+
+    ``bucket_widths`` names the columns and a width of buckets for each. Equal
+    values are counted before anything else. A histogram of the buckets, a
+    short table, says which of them hold a wanted rank; only these are looked
+    into. Nulls take no part. Result: group columns, ``band`` (the column's
+    name), ``q`` and ``pct``.
     """
+    bands = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("band"),
+                F.col(name).cast("double").alias("v"),
+                F.floor(F.col(name).cast("double") / width).alias("_bucket"),
+            )
+            for name, width in bucket_widths.items()
+        ]
+    )
+    group = [*group, "band"]
     counted = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("v"))
+        rows.select(*group[:-1], F.inline(bands))
+        .where("v IS NOT NULL")
+        .groupBy(*group, "_bucket", "v")
         .agg(F.count("*").alias("n"))
-        .withColumn("_bucket", F.floor(F.col("v") / bucket_width))
     )
+    # both uses of ``counted`` share its shuffle
     offsets = bucket_offsets(counted, group, ["_bucket"], [F.col("_bucket")], "n")
     place = F.col("_q") / 100 * (F.col("in_group") - 1)
     wanted = (
@@ -75,26 +98,22 @@ def group_percentiles(
 def top_rows(
     rows: DataFrame,
     group: list[str],
-    cap: int,
+    cap: int | Column,
     bucket: list[str],
     bucket_order: list[Column],
     inner_order: list[Column],
 ) -> DataFrame:
-    """The first ``cap`` rows of every group, exactly.
+    """The first ``cap`` rows of every group, exactly; ``cap`` may differ
+    between groups.
 
-    Buckets that end before the cap are taken whole, and only the rows of the
-    one bucket the cap falls into are ranked.
+    Buckets that begin at the cap or later fall away by their sizes alone, a
+    short table. Of the others, whose rows exceed the cap by less than one
+    bucket, each is ranked by itself.
     """
+    limit = cap if isinstance(cap, Column) else F.lit(cap)
     ones = rows.withColumn("_one", F.lit(1))
-    offsets = bucket_offsets(ones, group, bucket, bucket_order, "_one").where(F.col("before") < cap)
+    offsets = bucket_offsets(ones, group, bucket, bucket_order, "_one").where(F.col("before") < limit)
     inside = Window.partitionBy(*group, *bucket).orderBy(*inner_order)
-    placed = rows.join(offsets, [*group, *bucket])
-    names = rows.columns
-    whole = placed.where(F.col("before") + F.col("in_bucket") <= cap).select(*names)
-    cut = (
-        placed.where(F.col("before") + F.col("in_bucket") > cap)
-        .withColumn("_place", F.col("before") + F.row_number().over(inside))
-        .where(F.col("_place") <= cap)
-        .select(*names)
-    )
-    return whole.unionByName(cut)
+    placed = rows.join(offsets.select(*group, *bucket, "before"), [*group, *bucket])
+    ranked = placed.withColumn("_place", F.col("before") + F.row_number().over(inside))
+    return ranked.where(F.col("_place") <= limit).select(*rows.columns)

@@ -177,12 +177,17 @@ def search_rounds(
     rounds: int = 1,
     weight: str | None = None,
     seeds: int = SEEDS,
+    weights: DataFrame | None = None,
 ) -> DataFrame:
     """round, cand, best_match, agree_count, total.
 
     From the second round on, the keys found in the round before search among
-    those not found yet.
+    those not found yet. Where ``weight`` weighs candidates' tokens by the size
+    of their cluster, ``weights`` (cluster_id, n_b) does so for the keys that
+    ask, by their own cluster, so votes mean the same in every round.
     """
+    if (weight is None) != (weights is None):
+        raise ValueError("weight and weights belong together")
     first = best_with_total(cand_tokens, known_tokens, weight=weight, seeds=seeds)
     results = [first.select(F.lit(1).alias("round"), "*")]
     if rounds > 1:
@@ -190,8 +195,10 @@ def search_rounds(
         found = seen = results[0].select(F.col("best_match").alias("image_id")).distinct()
     for number in range(2, rounds + 1):
         asking = known_tokens.join(found, "image_id", "left_semi").withColumnRenamed("image_id", "cand")
+        if weights is not None:
+            asking = join_on_cluster(asking, weights.withColumnRenamed("n_b", weight))
         unseen = known_tokens.join(seen, "image_id", "left_anti")
-        found_now = best_with_total(asking, unseen, seeds=seeds)
+        found_now = best_with_total(asking, unseen, weight=weight, seeds=seeds)
         results.append(cut_lineage(found_now.select(F.lit(number).alias("round"), "*")))
         found = results[-1].select(F.col("best_match").alias("image_id")).distinct()
         seen = cut_lineage(seen.unionByName(found))

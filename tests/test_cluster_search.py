@@ -9,6 +9,7 @@ from lookalike.operators.cluster import (
     cluster_token_counts,
     cluster_top_tokens,
     nearest_center,
+    token_cap,
     token_heavy_hitters,
 )
 from lookalike.operators.explore import (
@@ -52,7 +53,10 @@ def test_kmeans_matches_numpy(items):
         near = ((x[:, None] - centers) ** 2).sum(-1).argmin(1)
         centers = np.array([x[near == i].mean(0) if (near == i).any() else centers[i] for i in range(3)])
     assert np.allclose(fit.points, centers)
-    assert sum(r.n for r in fit.centers.collect()) == len(rows)
+    near = ((x[:, None] - centers) ** 2).sum(-1)
+    # sizes and sse are those of the final centres
+    assert {r.cluster_id: r.n for r in fit.centers.collect()} == {i: int((near.argmin(1) == i).sum()) for i in range(3)}
+    assert abs(fit.fit_stats.first().sse - near.min(1).sum()) < 1e-9
     early = cluster_items(df, 3, 9, converge=1e9).fit_stats.first()
     assert early.rounds == 1
 
@@ -87,8 +91,52 @@ def test_token_counts(items):
     top = cluster_top_tokens(counts, "ward", 1, 3).collect()
     assert len(top) == 3 and [r.n for r in top] == sorted((r.n for r in top), reverse=True)
     exact = {(r.cluster_id, r.token): r.n for r in counts.where("kind = 'ward'").collect()}
-    for r in token_heavy_hitters(assigned, "ward", 3).collect():
-        assert exact[r.cluster_id, r.token] == r.n
+    for buckets in (4096, 7, 1):
+        got = token_heavy_hitters(assigned, "ward", 3, buckets, opened=1).collect()
+        for cluster in (0, 1):
+            mine = [r for r in got if r.cluster_id == cluster]
+            ranked = sorted((-n, t) for (c, t), n in exact.items() if c == cluster)
+            assert all(exact[cluster, r.token] == r.n for r in mine)
+            missed = [-n for n, t in ranked if t not in {r.token for r in mine}]
+            assert all(max(missed, default=0) <= min(r.n for r in mine) + r.error for r in mine)
+            if mine[0].error == 0:
+                assert sorted(-r.n for r in mine) == [n for n, _ in ranked[:3]]
+
+
+def test_heavy_hitters_are_certain_where_counters_are_many(items):
+    _, df = items
+    assigned = nearest_center(df, [(0.0,) * 4, (2.0,) * 4])
+    counts = cluster_token_counts(assigned).where("kind = 'ward'")
+    got = sorted((r.cluster_id, -r.n, r.token, r.error) for r in token_heavy_hitters(assigned, "ward", 4).collect())
+    want = []
+    for cluster in (0, 1):
+        ranked = sorted((-r.n, r.token) for r in counts.where(f"cluster_id = {cluster}").collect())
+        want += [(cluster, n, t, 0) for n, t in ranked[:4]]
+    assert got == want
+
+
+def test_caps_differ_between_kinds(items):
+    _, df = items
+    counts = cluster_token_counts(nearest_center(df, [(0.0,) * 4, (2.0,) * 4]))
+    caps = {"phash": 3, "ward": 2}
+    rows = counts.collect()
+    want = []
+    for kind, cap in caps.items():
+        for cluster in (0, 1):
+            mine = sorted((-r.n, r.token) for r in rows if (r.kind, r.cluster_id) == (kind, cluster))
+            want += [(kind, cluster, t, -n) for n, t in mine[:cap]]
+    got = token_cap(counts, caps)
+    assert sorted((r.kind, r.cluster_id, r.token, r.n) for r in got.collect()) == sorted(want)
+
+
+def test_plans_do_not_grow_with_the_centres(items):
+    rows, df = items
+    size = lambda points: str(nearest_center(df, points)._jdf.queryExecution().analyzed()).count("\n")
+    many = [tuple(float(i + j) for j in range(4)) for i in range(2_000)]
+    assert size(many) == size(many[:2])
+    got = {(r.image_id, r.sel_id): r.cluster_id for r in nearest_center(df, many).collect()}
+    x, c = np.array([r[2] for r in rows]), np.array(many)
+    assert [got[r[0], r[1]] for r in rows] == ((x[:, None] - c) ** 2).sum(-1).argmin(1).tolist()
 
 
 def plain_search(rows, cands, points, mode):

@@ -231,6 +231,14 @@ def test_fuzz_leaves_the_last_blocks_alone(spark):
             assert np.allclose(mine, grid.ravel())
 
 
+def test_fuzz_leaves_alpha_alone(spark):
+    rng = random.Random(6)
+    bands = [[float(rng.randrange(256)) for _ in range(144)] for _ in range(4)]
+    df = spark.createDataFrame([("a", 12, 12, bands)], "image_id string, width int, height int, bands array<array<double>>")
+    got = block_median_fuzz(df, 3, 1.0, 3).first().bands
+    assert got[3] == bands[3] and all(got[i] != bands[i] for i in range(3))
+
+
 def test_group_percentiles_of_a_hot_group(spark):
     rng = random.Random(4)
     rows = [(0, round(rng.random() * 50, 2)) for _ in range(900)] + [(1, 4.0), (2, -1.5), (2, 7.25)]

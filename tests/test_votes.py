@@ -157,3 +157,15 @@ def test_later_rounds_find_new_keys_only(sample):
     third = {r.best_match for r in rows if r.round == 3}
     assert second and not first & second and not (first | second) & third
     assert {r.cand for r in rows if r.round == 2} <= first
+
+
+def test_later_rounds_weigh_by_the_asking_key(spark):
+    """The same tokens in clusters of other sizes give other votes."""
+    known = [("t1", 1, 0), ("t2", 1, 0), ("t2", 2, 1), ("t3", 2, 1), ("t3", 3, 1), ("t2", 4, 0)]
+    known_df = spark.createDataFrame(known, "token string, image_id int, cluster_id int")
+    weights = spark.createDataFrame([(0, 10), (1, 7)], "cluster_id int, n_b long")
+    cand = spark.createDataFrame([("t1", 50, 10)], "token string, cand int, n_b long")
+    rows = search_rounds(cand, known_df, rounds=3, weight="n_b", weights=weights).collect()
+    assert [tuple(r) for r in rows] == [(1, 50, 1, 10, 10), (2, 1, 2, 10, 20), (3, 2, 3, 7, 14)]
+    with pytest.raises(ValueError):
+        search_rounds(cand, known_df, rounds=2, weight="n_b")

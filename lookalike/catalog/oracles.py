@@ -361,6 +361,65 @@ ORACLES["feature_vector"] = f"""
     SELECT image_id, pos, {tidy('v')} AS v FROM cen
     UNION ALL SELECT image_id, pos + 9, {tidy('v')} FROM {_PERCENTILES}"""
 
+def _regions(rounds: int, target: int) -> str:
+    """Parts for merging the 48 values of a 4x4 picture: per round the priced
+    edges (k), the pairs that merge (p), nodes (n), edges (e) and members (m)."""
+    at = lambda y, x: f"e[(band * 21 + (2 * r + {y}) * 8 + 2 * c + {x}) % 64 + 1]"
+    parts = [
+        f"img AS MATERIALIZED ({PARTS['img']})",
+        f"""n0 AS MATERIALIZED (
+             SELECT image_id, (r * 4 + c) * 3 + band AS r, 1.0::DOUBLE AS n,
+                    (({at(0, 0)} * 0.5::DOUBLE + {at(0, 1)} * 0.5::DOUBLE) * 0.5::DOUBLE
+                     + ({at(1, 0)} * 0.5::DOUBLE + {at(1, 1)} * 0.5::DOUBLE) * 0.5::DOUBLE) AS m
+             FROM img, range(4) y(r), range(4) x(c), range(3) b(band))""",
+        """e0 AS MATERIALIZED (
+             SELECT image_id, r AS a, r + d AS b FROM n0, (VALUES (1), (3)) s(d)
+             WHERE (d = 1 AND r % 3 < 2) OR (d = 3 AND r + 3 < 48))""",
+        "m0 AS MATERIALIZED (SELECT image_id, r AS pos, r FROM n0)",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"""k{i} AS MATERIALIZED (
+                 SELECT image_id, a, b, row_number() OVER (PARTITION BY image_id ORDER BY cost, tie, a, b) AS rk
+                 FROM (SELECT e.image_id, a, b, md5(a || '|' || b) AS tie,
+                              x.n * y.n / (x.n + y.n) * (x.m - y.m) * (x.m - y.m) AS cost
+                       FROM e{i} e JOIN n{i} x ON e.image_id = x.image_id AND e.a = x.r
+                                   JOIN n{i} y ON e.image_id = y.image_id AND e.b = y.r))""",
+            f"""p{i} AS MATERIALIZED (
+                 WITH ends AS (SELECT image_id, a AS r, rk FROM k{i} UNION ALL SELECT image_id, b, rk FROM k{i}),
+                      best AS (SELECT image_id, r, min(rk) AS rk FROM ends GROUP BY ALL),
+                      live AS (SELECT image_id, count(*) AS c FROM n{i} GROUP BY ALL)
+                 SELECT image_id, a, b FROM k{i}
+                 JOIN best u USING (image_id, rk) JOIN best v USING (image_id, rk) JOIN live USING (image_id)
+                 WHERE u.r = a AND v.r = b
+                 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY rk) <= any_value(c) OVER (PARTITION BY image_id) - {target})""",
+            f"""n{i + 1} AS MATERIALIZED (
+                 SELECT x.image_id, x.r, x.n + coalesce(y.n, 0) AS n,
+                        CASE WHEN y.n IS NULL THEN x.m ELSE (x.n * x.m + y.n * y.m) / (x.n + y.n) END AS m
+                 FROM n{i} x LEFT JOIN p{i} p ON p.image_id = x.image_id AND p.a = x.r
+                             LEFT JOIN n{i} y ON y.image_id = x.image_id AND y.r = p.b
+                 ANTI JOIN p{i} q ON q.image_id = x.image_id AND q.b = x.r)""",
+            f"""m{i + 1} AS MATERIALIZED (
+                 SELECT m.image_id, pos, coalesce(p.a, m.r) AS r
+                 FROM m{i} m LEFT JOIN p{i} p ON p.image_id = m.image_id AND p.b = m.r)""",
+            f"""e{i + 1} AS MATERIALIZED (
+                 SELECT DISTINCT image_id, least(a, b) AS a, greatest(a, b) AS b
+                 FROM (SELECT e.image_id, coalesce(p.a, e.a) AS a, coalesce(q.a, e.b) AS b
+                       FROM e{i} e LEFT JOIN p{i} p ON p.image_id = e.image_id AND p.b = e.a
+                                   LEFT JOIN p{i} q ON q.image_id = e.image_id AND q.b = e.b)
+                 WHERE a <> b)""",
+        ]
+    return ", ".join(parts)
+
+
+#: More rounds than any of these small pictures needs.
+REGION_ROUNDS = 24
+ORACLES["region_tokens"] = f"""
+    WITH {_regions(REGION_ROUNDS, 5)}
+    SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY r) - 1)::INT AS region,
+           md5(string_agg((pos - r)::VARCHAR, ',' ORDER BY pos)) AS token
+    FROM m{REGION_ROUNDS} GROUP BY image_id, r"""
+
 _COVARIANCE = """
     (SELECT image_id, count(*) AS n, var_samp(r) AS xx, covar_samp(r, g) AS xy,
             covar_samp(r, b) AS xz, var_samp(g) AS yy, covar_samp(g, b) AS yz, var_samp(b) AS zz
@@ -422,7 +481,8 @@ oracle(
 )
 oracle(
     "token_heavy_hitters",
-    """WITH t AS (SELECT cluster_id, token, n, ('0x' || substr(md5(token), 1, 8))::BIGINT % 4096 AS bucket
+    """SELECT * FROM (
+       WITH t AS (SELECT cluster_id, token, n, ('0x' || substr(md5(token), 1, 8))::BIGINT % 4096 AS bucket
                   FROM counts WHERE kind = 'ward'),
             b AS (SELECT cluster_id, bucket, sum(n) AS most FROM t GROUP BY ALL),
             r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY most DESC, bucket) AS place FROM b),
@@ -432,7 +492,7 @@ oracle(
               greatest(0, coalesce(most, 0) - CASE WHEN count(*) OVER w < 10 THEN 0 ELSE min(n) OVER w END)::BIGINT
               AS error
        FROM f LEFT JOIN (SELECT cluster_id, most FROM r WHERE place = 41) USING (cluster_id)
-       WINDOW w AS (PARTITION BY f.cluster_id)""",
+       WINDOW w AS (PARTITION BY f.cluster_id))""",
 )
 oracle(
     "fit_meta",

@@ -1,5 +1,7 @@
 """Selections of images: whole, patches, quadrants; three bands; resizing.
 
+``sampled_selections`` does all of it on the bytes of decoded files at once.
+
 A selection is one row: image_id, sel_id, is_full, width, height and
 ``bands``, one array of values per band in row-major order. Every operator
 here is narrow: no row leaves its partition.
@@ -50,12 +52,67 @@ def select_all(
 
     All windows come from one pass, so an image is read and decoded once.
     """
+    return _cut(images, _all_windows(max_patches, fraction, seed, quadrants))
+
+
+def _all_windows(max_patches: int, fraction: tuple[float, float], seed: int, quadrants: bool) -> Column:
     windows = [F.array(_window(0, 0, 0, F.col("height"), F.col("width")))]
     if max_patches > 0:
         windows.append(_patches(max_patches, fraction, seed))
     if quadrants:
         windows.append(_quadrants(max_patches))
-    return _cut(images, F.concat(*windows))
+    return F.concat(*windows)
+
+
+def sampled_selections(
+    images: DataFrame,
+    x_down: int,
+    value_range: float,
+    max_patches: int,
+    fraction: tuple[float, float],
+    seed: int,
+    quadrants: bool = False,
+) -> DataFrame:
+    """``select_all``, ``to_rgb`` and ``resize`` in one step, from decoded files
+    (``image_load``): the same rows and values.
+
+    Only the bytes that the resized pixels lie between are read. No array is as
+    large as the picture, whatever its size, and a row as large as the picture
+    exists once and not per selection. Files that were not decoded drop out.
+    """
+
+    def sampled(at: Column) -> Column:
+        return bind(
+            record(rows=_rows(at["_h"], at["_w"], x_down), cols=_cols(at["_h"], at["_w"], x_down)),
+            lambda to: record(
+                sel_id=at["sel_id"],
+                is_full=at["sel_id"] == 0,
+                width=to["cols"],
+                height=to["rows"],
+                bands=bind(
+                    record(
+                        data=F.col("data"), width=F.col("width"), depth=F.col("n_channels"), r0=at["_r0"], c0=at["_c0"],
+                        ys=_taps(at["_h"], to["rows"]), xs=_taps(at["_w"], to["cols"]),
+                    ),
+                    lambda im: F.transform(F.array(F.lit(2), F.lit(1), F.lit(0)), lambda channel: band(im, channel)),
+                ),
+            ),
+        )
+
+    def band(im: Column, channel: Column) -> Column:
+        # bytes are blue, green, red; a gray value is shared out
+        offset = F.when(im["depth"] >= 3, channel).otherwise(F.lit(0))
+
+        def byte(row: Column, col: Column) -> Column:
+            place = ((im["r0"] + row) * im["width"] + im["c0"] + col) * im["depth"] + offset
+            value = F.conv(F.hex(F.substring(im["data"], place + 1, F.lit(1))), 16, 10).cast("double")
+            return F.when(im["depth"] >= 3, value).otherwise(value / 3)
+
+        return _bilinear(byte, im["ys"], im["xs"], value_range)
+
+    decoded = images.where("height > 0 AND width > 0")
+    windows = _all_windows(max_patches, fraction, seed, quadrants)
+    return decoded.select("image_id", F.inline(F.transform(windows, sampled)))
 
 
 def _window(sel_id, r0, c0, h, w) -> Column:
@@ -131,38 +188,46 @@ def to_rgb(selections: DataFrame) -> DataFrame:
     )
 
 
+#: A picture is resized to at most this many times ``x_down`` squared pixels.
+WIDEST = 4
+
+
+def _rows(height: Column, width: Column, x_down: int) -> Column:
+    """Rows after resizing: ``x_down``, less for a picture so wide that its
+    area would exceed the bound."""
+    wide = F.floor(x_down * F.sqrt(WIDEST * height / width) + 0.5)
+    fits = width <= height * WIDEST
+    return F.when(fits, F.lit(x_down)).otherwise(F.greatest(F.lit(1), wide.cast("int")))
+
+
+def _cols(height: Column, width: Column, x_down: int) -> Column:
+    """Columns after resizing: as many as keep the shape, 1 at least."""
+    wide = F.floor(F.lit(float(WIDEST * x_down * x_down)) / _rows(height, width, x_down))
+    keep = F.floor(F.lit(x_down) * width / height + 0.5)
+    return F.greatest(F.lit(1), F.when(width <= height * WIDEST, keep).otherwise(wide).cast("int"))
+
+
 def resize(selections: DataFrame, x_down: int, value_range: float = 1.0) -> DataFrame:
     """Bilinear scaling to ``x_down`` rows and as many columns as keep the shape.
 
+    A picture more than ``WIDEST`` times as wide as high gets fewer rows, so
+    that its area is ``WIDEST * x_down ** 2``: no row grows beyond that.
     Values are divided by ``value_range`` (255 brings bytes to 0..1). The
     taps of each axis are worked out once per selection, not once per pixel.
     """
     keep = [c for c in selections.columns if c not in ("width", "height", "bands")]
-    new_w = F.greatest(
-        F.lit(1), F.floor(F.lit(x_down) * F.col("width") / F.col("height") + 0.5).cast("int")
-    )
-    sized = selections.withColumn("_w", new_w)
+    size = [f(F.col("height"), F.col("width"), x_down) for f in (_rows, _cols)]
+    sized = selections.withColumns({"_h": size[0], "_w": size[1]})
     image = record(
         bands=F.col("bands"),
         width=F.col("width"),
-        ys=_taps(F.col("height"), F.lit(x_down)),
+        ys=_taps(F.col("height"), F.col("_h")),
         xs=_taps(F.col("width"), F.col("_w")),
     )
 
     def scale(im: Column) -> Column:
         def scaled(band: Column) -> Column:
-            def at(row: Column, col: Column) -> Column:
-                return F.get(band, row * im["width"] + col)
-
-            def row_values(y: Column) -> Column:
-                def value(x: Column) -> Column:
-                    upper = at(y["lo"], x["lo"]) * (1 - x["t"]) + at(y["lo"], x["hi"]) * x["t"]
-                    lower = at(y["hi"], x["lo"]) * (1 - x["t"]) + at(y["hi"], x["hi"]) * x["t"]
-                    return (upper * (1 - y["t"]) + lower * y["t"]) / value_range
-
-                return F.transform(im["xs"], value)
-
-            return F.flatten(F.transform(im["ys"], row_values))
+            return _bilinear(lambda row, col: F.get(band, row * im["width"] + col), im["ys"], im["xs"], value_range)
 
         return F.transform(im["bands"], scaled)
 
@@ -171,11 +236,25 @@ def resize(selections: DataFrame, x_down: int, value_range: float = 1.0) -> Data
     return sized.select(
         *keep,
         F.col("_w").alias("width"),
-        F.lit(x_down).alias("height"),
+        F.col("_h").alias("height"),
         F.col("_scaled").alias("bands"),
     )
 
 
+def _bilinear(at, ys: Column, xs: Column, value_range: float) -> Column:
+    """Values between four taps each; ``at`` gives the value of a row and column."""
+
+    def row_values(y: Column) -> Column:
+        def value(x: Column) -> Column:
+            upper = at(y["lo"], x["lo"]) * (1 - x["t"]) + at(y["lo"], x["hi"]) * x["t"]
+            lower = at(y["hi"], x["lo"]) * (1 - x["t"]) + at(y["hi"], x["hi"]) * x["t"]
+            return (upper * (1 - y["t"]) + lower * y["t"]) / value_range
+
+        return F.transform(xs, value)
+
+    return F.flatten(F.transform(ys, row_values))
+
+
 def _taps(old: Column, new: Column) -> Column:
     """For every new place: the two old places it lies between, and how far."""
     last = (old - 1).cast("double")

@@ -20,22 +20,31 @@ from ..operators.cluster import (
 from ..operators.lookups import token_lookups
 from ..operators.search import as_candidates, match_samples
 from ..operators.votes import final_matches
-from ..sources.images import image_bands, image_format, image_load, image_meta, image_scan
+from ..sources.images import image_format, image_load, image_scan
 from ..sources.store import RunStore
 from .measure import measure_images
 from .search import Matches, find_similar
 
 
-def load_images(spark: SparkSession, folder: str, glob: str) -> tuple[DataFrame, DataFrame]:
-    """Decoded images of a folder, and the format and length of their files.
-
-    Sizes and bands are known from decoding, so metadata does not decode again.
-    """
+def file_facts(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """image_id, length and format of every file, from their first bytes."""
     files = image_scan(spark, folder, glob)
-    facts = files.select(
+    return files.select(
         F.col("path").alias("image_id"), "length", image_format(F.col("content")).alias("format")
     )
-    return image_bands(image_load(spark, folder, glob)), facts
+
+
+def measure_folder(
+    store: RunStore, config: Config, folder: str, glob: str, files: str, rejected: str, measures: str
+) -> DataFrame:
+    """Facts of all files, measures of those that can be decoded, and the rest.
+
+    Every picture is decoded once. A file without measures was not decoded.
+    """
+    facts = store.save(file_facts(store.spark, folder, glob), files)
+    rows = store.save(measure_images(image_load(store.spark, folder, glob), config, meta=facts), measures)
+    store.save(facts.join(rows.select("image_id").distinct(), "image_id", "left_anti"), rejected)
+    return rows
 
 
 def fit_clusters(measures: DataFrame, config: Config) -> tuple[Fit, DataFrame]:
@@ -92,36 +101,35 @@ def save_matches(store: RunStore, matches: Matches) -> None:
     store.save(joined, store.candidate_path("joined_final_matches"))
 
 
-def rejected_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """Files that cannot be decoded: image_id, length, format."""
-    return image_meta(spark, folder, glob).where("NOT is_valid").select("image_id", "length", "format")
-
-
 def run_actions(
     spark: SparkSession,
     config: Config,
     input_folder: str | None = None,
     candidate_folder: str | None = None,
+    resume: bool = False,
 ) -> dict[str, float]:
     """Run the steps ``config.actions`` names; seconds spent on each.
 
     Every step reads what the step before has stored, so steps can also be
-    run one by one.
+    run one by one. A run that broke is taken up with ``resume``: steps and
+    tables that it finished stay as they are.
     """
-    store = RunStore(spark, config)
+    store = RunStore(spark, config, resume)
     seconds = {}
 
     def timed(action: str, step) -> None:
         if action in config.actions:
             start = time.monotonic()
-            step()
+            if not store.finished(f"step {action}"):
+                step()
+                store.finish(f"step {action}")
             seconds[action] = time.monotonic() - start
 
     def measure() -> None:
-        bad = rejected_files(spark, input_folder, config.input_glob)
-        store.save(bad, store.rejected_path())
-        images, meta = load_images(spark, input_folder, config.input_glob)
-        store.save(measure_images(images, config, meta=meta), store.measures_path())
+        measure_folder(
+            store, config, input_folder, config.input_glob,
+            store.files_path(), store.rejected_path(), store.measures_path(),
+        )
 
     def cluster() -> None:
         measures = store.load(store.measures_path())
@@ -150,7 +158,7 @@ def candidate_measures(
     """Stored candidate measures, or new ones where there are none yet."""
     if config.candidate_has_mapped:
         return store.load(path)
-    bad = rejected_files(store.spark, folder, config.candidate_glob)
-    store.save(bad, store.candidate_path("rejected"))
-    images, meta = load_images(store.spark, folder, config.candidate_glob)
-    return store.save(measure_images(images, config, meta=meta), path)
+    return measure_folder(
+        store, config, folder, config.candidate_glob,
+        store.candidate_path("files"), store.candidate_path("rejected"), path,
+    )

@@ -16,7 +16,7 @@ from ..operators.measures import (
     phash_tokens,
 )
 from ..operators.regions import region_tokens
-from ..operators.selections import resize, select_all, to_rgb
+from ..operators.selections import resize, sampled_selections, select_all, to_rgb
 
 
 def _with_regions(rows: DataFrame, config: Config) -> DataFrame:
@@ -33,20 +33,17 @@ def measure_images(
 ) -> DataFrame:
     """One row of measures per selection.
 
-    ``images`` are decoded: image_id, width, height, bands. Every measure works
-    on the selection's own row, so nothing is shuffled. ``meta`` (image_id and
-    any other columns) is carried along as a map.
+    ``images`` are decoded files (``image_load``), of which only the bytes that
+    are needed become numbers, or pictures as arrays: image_id, width, height,
+    bands. Every measure works on the selection's own row, so nothing is
+    shuffled. ``meta`` (image_id and any other columns) is carried along as a
+    map.
     """
-    selections = to_rgb(
-        select_all(
-            images,
-            config.max_patches,
-            config.patch_fraction,
-            config.patch_seed,
-            config.quadrants,
-        )
-    )
-    rows = resize(selections, config.x_down, value_range)
+    windows = (config.max_patches, config.patch_fraction, config.patch_seed, config.quadrants)
+    if "data" in images.columns:
+        rows = sampled_selections(images, config.x_down, value_range, *windows)
+    else:
+        rows = resize(to_rgb(select_all(images, *windows)), config.x_down, value_range)
     rows = color_centroids(rows, config.n_clusters, config.max_iterations, config.kmeans_sample)
     rows = _with_regions(rows, config)
     rows = band_percentiles(rows, config.quantiles)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,17 +48,49 @@ class RunStore:
     """Tables of one run, one Parquet folder each, below ``root/test_name``.
 
     ``map_each_image/measures``, ``km/<table>`` and
-    ``candidates/<batch>/<table>``. A table that exists is never overwritten.
+    ``candidates/<batch>/<table>``. A table that exists is never overwritten,
+    unless the run is resumed: a manifest names the tables that were finished,
+    with a digest of the settings they were made under. Those are taken as they
+    are, and what a broken run left of any other is written again.
     """
 
-    def __init__(self, spark: SparkSession, config: Config):
+    MANIFEST = "name string, settings string"
+
+    def __init__(self, spark: SparkSession, config: Config, resume: bool = False):
         self.spark = spark
         self.config = config
+        self.resume = resume
         self.base = f"{config.root.rstrip('/')}/{config.test_name}"
+        # which steps run does not change what they make
+        made = replace(config, actions=())
+        self.settings = hashlib.sha256(repr(made).encode()).hexdigest()
+
+    def _manifest(self) -> str:
+        return f"{self.base}/manifest"
+
+    def finish(self, name: str) -> None:
+        """Note that a table, or all of a step, is whole."""
+        row = self.spark.createDataFrame([(name, self.settings)], self.MANIFEST)
+        row.coalesce(1).write.mode("append").parquet(self._manifest())
+
+    def finished(self, name: str) -> bool:
+        """Whether a resumed run may take ``name`` as it is."""
+        if not self.resume:
+            return False
+        # an empty table first: there may be no manifest yet
+        self.spark.createDataFrame([], self.MANIFEST).write.mode("append").parquet(self._manifest())
+        rows = self.spark.read.schema(self.MANIFEST).parquet(self._manifest()).where(F.col("name") == name)
+        settings = {r.settings for r in rows.distinct().collect()}
+        if settings - {self.settings}:
+            raise ValueError(f"{name} was made with other settings; use another test_name")
+        return bool(settings)
 
     def measures_path(self) -> str:
         return f"{self.base}/map_each_image/measures"
 
+    def files_path(self) -> str:
+        return f"{self.base}/map_each_image/files"
+
     def rejected_path(self) -> str:
         return f"{self.base}/map_each_image/rejected"
 
@@ -68,7 +102,10 @@ class RunStore:
 
     def save(self, df: DataFrame, path: str) -> DataFrame:
         """Write once, and hand back the stored table instead of the plan."""
-        df.write.mode("errorifexists").parquet(path)
+        name = path.removeprefix(f"{self.base}/")
+        if not self.finished(name):
+            df.write.mode("overwrite" if self.resume else "errorifexists").parquet(path)
+            self.finish(name)
         return self.load(path)
 
     def load(self, path: str) -> DataFrame:

@@ -186,10 +186,11 @@ def _lloyd(pixels: Column, seeds: Column, rounds: int) -> Column:
     )
 
     def turn(state: Column, _) -> Column:
+        limits = record(centers=state["centers"], shifts=state["shifts"], reach=F.array_max(state["shifts"]))
         moved = bind(
-            F.array_max(state["shifts"]),
-            lambda reach: bind(
-                F.zip_with(pixels, state["near"], lambda p, n: _nearest(p, n, state["centers"], state["shifts"], reach)),
+            limits,
+            lambda at: bind(
+                F.zip_with(pixels, state["near"], lambda p, n: _nearest(p, n, at)),
                 lambda near: _means(pixels, near, state["centers"]),
             ),
         )
@@ -204,13 +205,17 @@ def _lloyd(pixels: Column, seeds: Column, rounds: int) -> Column:
     return F.when(F.size(pixels) > 0, F.flatten(values)).otherwise(F.array().cast("array<double>"))
 
 
-def _nearest(pixel: Column, near: Column, centers: Column, shifts: Column, reach: Column) -> Column:
+def _square(p: Column, c: Column) -> Column:
+    r, g, b = (p[n] - c[n] for n in BANDS)
+    return r * r + g * g + b * b
+
+
+def _nearest(pixel: Column, near: Column, at: Column) -> Column:
     """The pixel's centre and bounds; the first centre wins a tie."""
 
     def measured(distances: Column) -> Column:
-        ordered = F.sort_array(distances)
         return bind(
-            ordered,
+            F.sort_array(distances),
             lambda o: record(
                 i=F.array_position(distances, F.get(o, F.lit(0))).cast("int") - 1,
                 most=F.sqrt(F.get(o, F.lit(0))),
@@ -218,43 +223,58 @@ def _nearest(pixel: Column, near: Column, centers: Column, shifts: Column, reach
             ),
         )
 
-    squares = F.transform(
-        centers,
-        lambda c: (pixel["r"] - c["r"]) * (pixel["r"] - c["r"])
-        + (pixel["g"] - c["g"]) * (pixel["g"] - c["g"])
-        + (pixel["b"] - c["b"]) * (pixel["b"] - c["b"]),
-    )
     # the share spared covers the rounding of the bounds
-    bounds = record(i=near["i"], most=near["most"] + F.get(shifts, near["i"]), least=near["least"] - reach)
-    return bind(
-        bounds, lambda n: F.when(n["most"] < n["least"] * (1 - 1e-9), n).otherwise(bind(squares, measured))
+    apart = lambda n: n["most"] < n["least"] * (1 - 1e-9)
+    full = bind(F.transform(at["centers"], lambda c: _square(pixel, c)), measured)
+    own = F.sqrt(bind(F.get(at["centers"], near["i"]), lambda c: _square(pixel, c)))
+    nearer = bind(
+        record(i=near["i"], most=own, least=near["least"] - at["reach"]), lambda n: F.when(apart(n), n).otherwise(full)
     )
+    loose = record(i=near["i"], most=near["most"] + F.get(at["shifts"], near["i"]), least=near["least"] - at["reach"])
+    return bind(loose, lambda n: F.when(apart(n), n).otherwise(nearer))
 
 
 def _means(pixels: Column, near: Column, centers: Column) -> Column:
     """The state after moving every centre to the mean of its pixels; one
     without pixels stays."""
+    # centre and place of every pixel as one number, in order
+    codes = F.sort_array(F.transform(near, lambda n, i: F.shiftleft(n["i"].cast("long"), 32) + i))
+
+    def grouped(ordered: Column) -> Column:
+        """Per centre that has pixels: its number and where its pixels begin."""
+        center = lambda c: F.shiftright(c, 32).cast("int")
+
+        def start(c: Column, i: Column) -> Column:
+            new = (i == 0) | (center(c) != center(F.get(ordered, i - 1)))
+            return F.when(new, record(i=center(c), at=i))
+
+        starts = F.filter(F.transform(ordered, start), lambda s: s.isNotNull())
+        return bind(starts, lambda s: F.transform(s, lambda one, j: mean_of(ordered, s, one, j)))
 
-    def center(old: Column, i: Column) -> Column:
-        own = F.filter(pixels, lambda p, n: F.get(near, n)["i"] == i)
+    def mean_of(ordered: Column, starts: Column, one: Column, j: Column) -> Column:
+        end = F.coalesce(F.get(starts, j + 1)["at"], F.size(ordered))
+        own = F.transform(
+            F.slice(ordered, one["at"] + 1, end - one["at"]),
+            lambda c: F.get(pixels, c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")),
+        )
         return bind(
             own,
-            lambda mine: F.when(
-                F.size(mine) > 0,
-                record(**{c: total(F.transform(mine, lambda p: p[c])) / F.size(mine) for c in BANDS}),
-            ).otherwise(old),
+            lambda mine: record(
+                i=one["i"], **{c: total(F.transform(mine, lambda p: p[c])) / F.size(mine) for c in BANDS}
+            ),
         )
 
+    def placed(found: Column) -> Column:
+        def center(old: Column, i: Column) -> Column:
+            return bind(
+                F.get(F.filter(found, lambda m: m["i"] == i), F.lit(0)),
+                lambda m: F.when(m.isNull(), old).otherwise(record(**{c: m[c] for c in BANDS})),
+            )
+
+        return F.transform(centers, center)
+
     def state(new: Column) -> Column:
-        shifts = F.zip_with(
-            centers,
-            new,
-            lambda a, c: F.sqrt(
-                (a["r"] - c["r"]) * (a["r"] - c["r"])
-                + (a["g"] - c["g"]) * (a["g"] - c["g"])
-                + (a["b"] - c["b"]) * (a["b"] - c["b"])
-            ),
-        )
+        shifts = F.zip_with(centers, new, lambda a, c: F.sqrt(_square(a, c)))
         return bind(shifts, lambda s: record(centers=new, near=near, shifts=s, moved=F.array_max(s) > 0))
 
-    return bind(F.transform(centers, center), state)
+    return bind(bind(bind(codes, grouped), placed), state)

@@ -91,24 +91,65 @@ def sampled_selections(
                 height=to["rows"],
                 bands=bind(
                     record(
-                        data=F.col("data"), width=F.col("width"), depth=F.col("n_channels"), r0=at["_r0"], c0=at["_c0"],
-                        ys=_taps(at["_h"], to["rows"]), xs=_taps(at["_w"], to["cols"]),
+                        data=F.col("data"),
+                        depth=F.col("n_channels"),
+                        ys=F.transform(_taps(at["_h"], to["rows"]), lambda y: line(at, y)),
+                        xs=F.transform(_taps(at["_w"], to["cols"]), span),
                     ),
-                    lambda im: F.transform(F.array(F.lit(2), F.lit(1), F.lit(0)), lambda channel: band(im, channel)),
+                    lambda im: bind(pixels(im), split),
                 ),
             ),
-        )
+        )
+
+    def line(at: Column, y: Column) -> Column:
+        """First bytes of the two rows a resized row lies between."""
+        first = lambda row: ((at["_r0"] + row) * F.col("width") + at["_c0"]) * F.col("n_channels") + 1
+        return record(lo=first(y["lo"]), hi=first(y["hi"]), t=y["t"])
+
+    def span(x: Column) -> Column:
+        """Bytes of two neighbouring pixels up to the second one's colours; at
+        the right edge those of one pixel, the other having no weight."""
+        depth = F.col("n_channels")
+        inside = x["hi"] > x["lo"]
+        colours = F.least(depth, F.lit(3))
+        return record(
+            at=x["lo"] * depth,
+            n=F.when(inside, depth + colours).otherwise(colours),
+            factor=F.when(inside, F.lit(1)).otherwise(F.pow(F.lit(256), depth)).cast("long"),
+            t=x["t"],
+        )
+
+    def pixels(im: Column) -> Column:
+        """Per resized row and column: the two rows' bytes as two numbers."""
+
+        def number(row: Column, x: Column) -> Column:
+            part = F.hex(F.substring(im["data"], row + x["at"], x["n"]))
+            return F.conv(part, 16, 10).cast("long") * x["factor"]
 
-    def band(im: Column, channel: Column) -> Column:
+        def cell(y: Column, x: Column) -> Column:
+            return record(lo=number(y["lo"], x), hi=number(y["hi"], x), y=y["t"], x=x["t"])
+
+        cells = F.flatten(F.transform(im["ys"], lambda y: F.transform(im["xs"], lambda x: cell(y, x))))
+        return record(cells=cells, depth=im["depth"])
+
+    def split(both: Column) -> Column:
         # bytes are blue, green, red; a gray value is shared out
-        offset = F.when(im["depth"] >= 3, channel).otherwise(F.lit(0))
+        rgb = lambda depth: F.array(*[band(both["cells"], depth, 3, channel) for channel in (2, 1, 0)])
+        gray = bind(band(both["cells"], 1, 1, 0), lambda one: F.array(one, one, one))
+        return F.when(both["depth"] == 3, rgb(3)).when(both["depth"] == 4, rgb(4)).otherwise(gray)
+
+    def band(cells: Column, depth: int, colours: int, channel: int) -> Column:
+        def byte(number: Column, place: int) -> Column:
+            raw = F.shiftright(number, 8 * (depth + colours - 1 - place)).bitwiseAND(F.lit(255)).cast("double")
+            return raw if colours == 3 else raw / 3
+
+        def value(c: Column) -> Column:
+            def across(number: Column) -> Column:
+                return byte(number, channel) * (1 - c["x"]) + byte(number, depth + channel) * c["x"]
 
-        def byte(row: Column, col: Column) -> Column:
-            place = ((im["r0"] + row) * im["width"] + im["c0"] + col) * im["depth"] + offset
-            value = F.conv(F.hex(F.substring(im["data"], place + 1, F.lit(1))), 16, 10).cast("double")
-            return F.when(im["depth"] >= 3, value).otherwise(value / 3)
+            return (across(c["lo"]) * (1 - c["y"]) + across(c["hi"]) * c["y"]) / value_range
 
-        return _bilinear(byte, im["ys"], im["xs"], value_range)
+        return F.transform(cells, value)
 
     decoded = images.where("height > 0 AND width > 0")
     windows = _all_windows(max_patches, fraction, seed, quadrants)

@@ -32,7 +32,7 @@ from .token_index import best_by_blocks, likely, signatures
 
 #: Rows that a candidate's leading tokens may lead to; it asks the index of
 #: blocks beyond. The result is the same either way.
-LEADS = 2_000
+LEADS = 5_000
 #: Rarest tokens of a candidate whose strongest item is scored for the bound.
 SEEDS = 4
 

@@ -88,6 +88,8 @@ def test_few_rows_for_common_tokens(spark, monkeypatch):
     n = 3_000
     cand, known = common_bags(8, n, 40, 8), common_bags(9, n, 40, 8)
     got = best_with_total(
-        spark.createDataFrame(cand, "token string, cand int"), spark.createDataFrame(known, "token string, image_id int")
+        spark.createDataFrame(cand, "token string, cand int"),
+        spark.createDataFrame(known, "token string, image_id int"),
+        leads=2_000,
     )
     assert got.count() == n and made[0].count() <= 3 * n

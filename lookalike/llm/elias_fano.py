@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 WORD_BITS = 40  # of a successor's hash, inside one context
+#: A context's place and a successor share 64 bits.
+MOST_WORDS = 1 << (64 - WORD_BITS)
 CODES = 255
 STEP = 6.0 / CODES  # codes 1 to 255 cover probabilities from 1 down to 1e-6
 
@@ -116,6 +118,8 @@ class Trie:
         with np.errstate(divide="ignore", invalid="ignore"):
             backoff = np.where(total > 0, discount * kinds / total, 1.0)
         pointers = np.concatenate([[0], np.cumsum(kinds)]).astype(np.uint64)
+        if len(words) > MOST_WORDS:
+            raise ValueError(f"{len(words)} words in a shard; raise spark.sql.shuffle.partitions")
         keys = (contexts.astype(np.uint64) << np.uint64(WORD_BITS)) | successors
         return {
             "words": EliasFano.parts(words),

@@ -196,7 +196,7 @@ def score(
             for r in rows:
                 at, counts, backoffs = trie.word(unpack(r["a"], np.uint64))
                 found = trie.pair(np.repeat(at, unpack(r["c"], np.uint32)), unpack(r["d"], np.uint64))
-                out.append((pack(counts, np.uint32), pack(backoffs, np.uint8), pack(found, np.uint8)))
+                out.append((pack(counts, np.uint64), pack(backoffs, np.uint8), pack(found, np.uint8)))
             del trie
         total, kinds = int(levels["counts"].sum()), int((levels["counts"] > 0).sum())
         first = [1] + [0] * (len(rows) - 1)
@@ -224,7 +224,7 @@ def score(
 
         found = found.sort_by("shard").to_pylist()
         counts, backoffs, codes = (
-            np.concatenate([unpack(f[k], t) for f in found]) for k, t in (("counts", np.uint32), ("backoffs", np.uint8), ("codes", np.uint8))
+            np.concatenate([unpack(f[k], t) for f in found]) for k, t in (("counts", np.uint64), ("backoffs", np.uint8), ("codes", np.uint8))
         )
         row = own.to_pylist()[0]
         sizes, stream = unpack(row["b"], np.uint32).astype(np.int64), unpack(row["c"], np.uint32).astype(np.int64)

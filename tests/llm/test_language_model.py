@@ -68,3 +68,26 @@ def test_scores_equal_plain_counting(spark):
         assert g[5] == pytest.approx(w[5])
         assert g[6] == pytest.approx(w[6], abs=0.013 * w[2])
     assert lm.score(df.limit(0)).count() == 0
+
+
+def test_counts_beyond_32_bits_and_too_many_words():
+    import numpy as np
+
+    from lookalike.llm import elias_fano
+    from lookalike.llm.packing import pack, unpack
+
+    words = np.array([3, 9], np.uint64)
+    levels = elias_fano.Trie.levels(words, np.array([2**32 + 5, 1]), np.array([0]), np.array([9], np.uint64), np.array([4]), 0.5)
+    _, counts, _ = elias_fano.Trie(levels).word(words)
+    assert unpack(pack(counts, np.uint64), np.uint64).tolist() == [2**32 + 5, 1]
+
+
+def test_a_shard_says_when_its_keys_run_out(monkeypatch):
+    import numpy as np
+
+    from lookalike.llm import elias_fano
+
+    monkeypatch.setattr(elias_fano, "MOST_WORDS", 1)
+    none = np.zeros(0, np.int64)
+    with pytest.raises(ValueError, match="shuffle.partitions"):
+        elias_fano.Trie.levels(np.array([1, 2], np.uint64), np.array([1, 1]), none, none.astype(np.uint64), none, 0.5)

@@ -144,8 +144,10 @@ def folders(spark):
     return files(spark, pictures, bad), files(spark, [tuple(r) for r in altered], bad)
 
 
+# no patches: their corners are drawn from the files' paths, which are new on
+# every run of the tests
 RUN = Config(
-    x_down=16, ward_x_down=8, n_clusters=3, max_iterations=2, max_patches=1, phash_bits=8, n_clusters_group=3,
+    x_down=16, ward_x_down=8, n_clusters=3, max_iterations=2, max_patches=0, phash_bits=8, n_clusters_group=3,
     max_iter_group=2, search_rounds=2, input_glob="*.png", candidate_glob="*.png",
 )
 
@@ -168,18 +170,24 @@ def test_a_run_finds_the_originals(spark, folders):
     sizes = {r.cluster_id: r.n for r in store.load(store.cluster_path("cluster_center_meta")).collect()}
     rows = store.load(store.cluster_path("cluster_to_key")).groupBy("cluster_id").count().collect()
     assert {r.cluster_id: r["count"] for r in rows} == {k: n for k, n in sizes.items() if n}
-    best = {r.cand.split("/")[-1]: r.phash_best.split("/")[-1] for r in store.load(store.candidate_path("joined_final_matches")).collect()}
-    assert set(best) == {p for p in best if p.endswith(".png")} and sum(k == v for k, v in best.items()) >= 9
-    assert best["long.png"] == "long.png"
+    name = lambda path: path.split("/")[-1]
+    matches = store.load(store.candidate_path("phash_matches")).collect()
+    best = {name(r.cand): name(r.best_match) for r in matches}
+    assert sum(k == v for k, v in best.items()) >= 9 and best["long.png"] == "long.png"
+    # candidates that both kinds of tokens have found
+    joined = {name(r.cand): name(r.phash_best) for r in store.load(store.candidate_path("joined_final_matches")).collect()}
+    assert joined and joined.items() <= best.items()
     rounds = store.load(store.candidate_path("phash_rounds"))
-    assert {r["round"] for r in rounds.select("round").distinct().collect()} == {1, 2}
+    # the second round asks for items that the first has not found, if any
+    asked = {r["round"] for r in rounds.select("round").distinct().collect()}
+    assert asked == ({1} if len(set(best.values())) == 11 else {1, 2})
     assert store.load(store.candidate_path("phash_samples")).count() == len(best)
     with pytest.raises(Exception, match="[Ee]xist"):
         jobs.run_actions(spark, config, *folders)
 
 
 def test_a_broken_run_is_taken_up(spark, folders, monkeypatch):
-    config = Config(**{**RUN.__dict__, "root": fresh_dir(spark, "run"), "search_rounds": 1, "max_patches": 0})
+    config = Config(**{**RUN.__dict__, "root": fresh_dir(spark, "run"), "search_rounds": 1})
     store = RunStore(spark, config)
     whole = jobs.save_matches
 

@@ -1,18 +1,24 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments. For each segment the small Hamming ball
-around its value is enumerated while the other segments stay as they are, and
-every point becomes an entry of the table. Two fingerprints within
-``max_distance`` bits meet at an entry that one of them reaches with half of
-the differing bits and the other with the rest. An entry is reached by no more
-fingerprints than the ball has points, so no segment value, however common,
-gathers an unbounded bucket, and no list of pairs arises: what meets at an
-entry is linked to its least fingerprint. Each link is verified on all 64 bits.
+A fingerprint is cut into segments, and a table holds its value under every
+segment. Of two fingerprints within ``max_distance`` bits some segment differs
+by few bits: with d = segments * r + a, one of the first a + 1 segments by at
+most r, or one of the others by at most r - 1. So each fingerprint asks, per
+segment, for the values in that small Hamming ball around its own; of two sides
+the one whose lowest differing bit is clear asks for the other. What the table
+returns is compared on all 64 bits.
+
+A segment value shared by more than ``BUCKET`` fingerprints is crowded and
+would return too many. It is split by the bits outside the segment: each of its
+fingerprints is entered at the points around these bits within half of the
+distance, and those who ask come with what is left of the distance. Whoever
+meets at a point is within reach, so each asker is linked to the least entry of
+the point and no list of pairs arises. Nothing is left out either way.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, product
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +30,8 @@ from .components import components
 SHINGLE = 3
 MAX_DISTANCE = 2
 SEGMENTS = 2
+#: Fingerprints that one segment value returns; it is split beyond.
+BUCKET = 32
 SEED = 42
 
 
@@ -81,48 +89,108 @@ def fingerprints(
     return rows.mapInArrow(run, "doc_id long, fp long, digest binary")
 
 
-def ball(radius: int, segments: int = SEGMENTS) -> list[int]:
-    """XOR masks with ``radius`` bits or fewer, built segment by segment."""
-    width = 64 // segments
-    masks = []
-    for shares in product(range(radius + 1), repeat=segments):
-        if sum(shares) <= radius:
-            parts = [
-                [sum(1 << (s * width + b) for b in bits) for bits in combinations(range(width), share)]
-                for s, share in enumerate(shares)
-            ]
-            masks += [sum(p) for p in product(*parts)]
-    return masks
+def ball(radius: int, bits: range) -> list[tuple[int, int]]:
+    """(XOR mask, bits set) of all masks of ``radius`` bits or fewer among ``bits``."""
+    return [(sum(1 << b for b in some), n) for n in range(radius + 1) for some in combinations(bits, n)]
 
 
-def _reach(fps: DataFrame, radius: int, near: bool) -> DataFrame:
-    masks = F.array(*[F.lit(m - (1 << 64) if m >= 1 << 63 else m) for m in sorted(ball(radius))])
-    points = F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m)))
-    return fps.select("fp", points.alias("entry"), F.lit(near).alias("near"))
+def segment_bits(segment: int, segments: int) -> range:
+    return range(64 * segment // segments, 64 * (segment + 1) // segments)
+
+
+def radii(max_distance: int, segments: int) -> list[int]:
+    """How far to look in each segment; -1 where it need not be asked."""
+    near, more = divmod(max_distance, segments)
+    return [near if s <= more else near - 1 for s in range(segments)]
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
+def _mask(bits) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
+def _rows(columns: tuple[str, ...], rows: list[tuple[int, ...]]) -> Column:
+    """One row per tuple, as a column to explode."""
+    return F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(columns, row)]) for row in rows]))
+
+
+def _table(fps: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """(segment, value, fp): every fingerprint under its segments."""
+    asked = [s for s, radius in enumerate(radii(max_distance, segments)) if radius >= 0]
+    parts = [(s, _mask(segment_bits(s, segments))) for s in asked]
+    cut = fps.select("fp", _rows(("segment", "bits"), parts).alias("p"))
+    return cut.select("p.segment", F.col("fp").bitwiseAND(F.col("p.bits")).alias("value"), "fp")
+
+
+def _probes(fps: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """(segment, value, fp, spent): values that ``fp`` asks for, and how many
+    bits of the distance they take."""
+    asked = []
+    for s, radius in enumerate(radii(max_distance, segments)):
+        bits = segment_bits(s, segments)
+        asked += [(s, _mask(bits), _signed(m), _signed(m & -m), n) for m, n in ball(radius, bits)]
+    found = fps.select("fp", _rows(("segment", "bits", "flip", "low", "spent"), asked).alias("p"))
+    return found.where(F.col("fp").bitwiseAND(F.col("p.low")) == 0).select(
+        "p.segment",
+        F.col("fp").bitwiseAND(F.col("p.bits")).bitwiseXOR(F.col("p.flip")).alias("value"),
+        "fp",
+        "p.spent",
+    )
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def _points(rows: DataFrame, radius: Column, most: int, segments: int) -> DataFrame:
+    """(segment, point, fp): the row's segment value, and its other bits with
+    up to ``radius`` of them flipped."""
+    flips = []
+    for s in range(segments):
+        inside = segment_bits(s, segments)
+        flips += [(s, _mask(inside), _signed(m), n) for m, n in ball(most, [b for b in range(64) if b not in inside])]
+    around = rows.select("*", _rows(("of", "bits", "flip", "n"), flips).alias("p"))
+    around = around.where((F.col("p.of") == F.col("segment")) & (F.col("p.n") <= radius))
+    rest = F.col("fp").bitwiseAND(F.bitwise_not("p.bits")).bitwiseXOR(F.col("p.flip"))
+    return around.select("segment", F.col("value").bitwiseOR(rest).alias("point"), "fp")
+
+
+def _split_links(entered: DataFrame, asking: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """(a, b) within crowded values, by points around the other bits."""
+    half = max_distance // 2
+    entries = _points(entered, F.lit(half), half, segments)
+    asks = _points(asking, max_distance - half - F.col("spent"), max_distance - half, segments)
+    least = entries.groupBy("segment", "point").agg(F.min("fp").alias("a"))
+    return asks.withColumnRenamed("fp", "b").join(least, ["segment", "point"]).select("a", "b")
+
+
+def links(
+    fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET
+) -> DataFrame:
     """(a, b) fingerprints within ``max_distance``; enough of them to connect
-    any two distinct ones that are that close. ``fps`` holds distinct values."""
-    small, large = max_distance // 2, max_distance - max_distance // 2
-    table = _reach(fps, small, True)
-    if large > small:
-        table = table.union(_reach(fps, large, False))
-    met = table.groupBy("entry").agg(
-        F.min(F.when(F.col("near"), F.col("fp"))).alias("a"),
-        F.count("*").alias("n"),
-        F.collect_list("fp").alias("bs"),
-    )
-    return (
-        met.where("n > 1 AND a IS NOT NULL")
-        .select("a", F.explode("bs").alias("b"))
-        .where((F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= max_distance))
-        .distinct()
-    )
+    any two distinct ones that are that close. ``fps`` holds distinct values.
+
+    Any ``segments`` of 2 or more and any ``bucket`` give the same components.
+    """
+    if segments < 2:
+        raise ValueError("segments must be 2 or more")
+    spark = fps.sparkSession
+    # a number keeps Spark from merging these short rows, which grow below
+    fps = cut_lineage(fps.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp"))
+    at = ["segment", "value"]
+    table, probes = _table(fps, max_distance, segments), _probes(fps, max_distance, segments)
+    crowded = cut_lineage(table.groupBy(*at).count().where(F.col("count") > bucket).select(*at))
+    few = table.join(crowded, at, "left_anti").withColumnRenamed("fp", "a")
+    found = probes.withColumnRenamed("fp", "b").join(few, at)
+    # within one value both sides ask
+    found = found.where((F.col("spent") > 0) | (F.col("a") < F.col("b"))).select("a", "b")
+    if not crowded.isEmpty():
+        some = (rows.join(crowded, at, "left_semi") for rows in (table, probes))
+        found = found.union(_split_links(*some, max_distance, segments))
+    return found.where((F.col("a") != F.col("b")) & (distance(F.col("a"), F.col("b")) <= max_distance)).distinct()
 
 
 def near_duplicates(
@@ -158,17 +226,25 @@ def near_duplicates(
 
 
 def keep_leaders(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """One document of each group, with all its columns."""
+    """One document of each group, with all its columns, whatever their names.
+
+    The group's least doc_id stays, nulls last, then the least digest of the
+    text; of rows alike in both, any one. Null and empty texts have the
+    fingerprint zero and form a group; an empty table gives an empty one.
+    """
     lead = (
         near_duplicates(docs, shingle=shingle, max_distance=max_distance)
         .where("leader")
-        .select(F.col("doc_id").alias("lead_id"), F.col("digest").alias("_text_digest"))
+        .select(F.col("doc_id").alias("lead_id"), "digest")
         .distinct()
     )
-    keyed = docs.withColumn("_text_digest", F.unhex(F.md5(as_bytes())))
-    same = keyed["doc_id"].eqNullSafe(lead["lead_id"]) & (keyed["_text_digest"] == lead["_text_digest"])
-    kept = keyed.join(lead, same, "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_digest"]).select(*docs.columns)
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs["doc_id"].cast("long").alias("id"),
+        F.unhex(F.md5(as_bytes())).alias("text_digest"),
+    )
+    same = F.col("id").eqNullSafe(F.col("lead_id")) & (F.col("text_digest") == F.col("digest"))
+    return rows.join(lead, same, "left_semi").dropDuplicates(["id", "text_digest"]).select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

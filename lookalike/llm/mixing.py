@@ -13,7 +13,7 @@ of documents is given up as a constraint, then one document is rounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut_lineage
@@ -34,13 +34,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words; null text: 0) and md5 of the text."""
+def sizes(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, source, size (words; null text: 0), md5 of the text, and
+    ``row``, a number that tells rows apart which are alike in all of these."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size"),
         F.unhex(F.md5(as_bytes())).alias("digest"),
+        (F.lit(0) if row is None else row).cast("long").alias("row"),
     )
 
 
@@ -132,7 +134,7 @@ def _round(rows: DataFrame, number: int, block_rows: int) -> DataFrame:
     def settle(keys, group):
         from random import Random
 
-        group = group.sort_values(["size", "mix", "doc_id"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["size", "mix", "doc_id", "row"], ascending=[False, True, True, True], kind="stable")
         dice = Random(f"{SEED}|{number}|{keys[0]}|{keys[1]}")
         chances = fly(group["size"].tolist(), group["chance"].tolist(), dice, bool(group["blocks"].iloc[0] == 1))
         return group.assign(chance=chances).drop(columns=["mix", "blocks", "block"])
@@ -146,9 +148,13 @@ def _round(rows: DataFrame, number: int, block_rows: int) -> DataFrame:
 
 
 def decide(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_rows: int = BLOCK_ROWS
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST,
+    block_rows: int = BLOCK_ROWS,
+    row: Column | None = None,
 ) -> DataFrame:
-    """A row per row of ``docs``: doc_id, digest, source, size, source_size,
+    """A row per row of ``docs``: doc_id, digest, row, source, size, source_size,
     target, copies (0 to ``most``) and taken = size * copies.
 
     Null sources are a source of their own, null ids and repeated rows are
@@ -158,7 +164,7 @@ def decide(
     """
     if block_rows < LEAST_BLOCK:
         raise ValueError(f"block_rows must be {LEAST_BLOCK} or more, so that every round leaves fewer rows")
-    sized = cut_lineage(sizes(docs))
+    sized = cut_lineage(sizes(docs, row))
     goals = cut_lineage(targets(sized, weights, most)).withColumnRenamed("source", "of")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
@@ -176,28 +182,51 @@ def decide(
         rows, number = done.where("chance > 0 AND chance < 1"), number + 1
     copies = (F.col("times") + F.col("chance")).cast("long")
     return settled.select(
-        "doc_id", "digest", "source", "size", "source_size", "target",
+        "doc_id", "digest", "row", "source", "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it."""
-    decided = decide(docs, **settings)
-    numbered = Window.partitionBy("_id", "_digest")
-    chosen = decided.select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "copies"
-    ).withColumn("_n", F.row_number().over(numbered.orderBy(F.desc("copies"))))
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_digest", F.unhex(F.md5(as_bytes())))
-    keyed = keyed.withColumn("_n", F.row_number().over(numbered.orderBy(F.xxhash64(*docs.columns))))
-    other = chosen.where("copies > 0").select(F.struct("_id", "_digest", "_n").alias("of"), "copies")
+    """``docs`` with every row as often as the mix takes it, under any column names.
+
+    Decisions are joined by id, source, text digest and a hash of all columns.
+    Rows alike in all of them are one row with their number of copies added up,
+    so a group of repeated rows, or of null ids over one text, is combined and
+    never numbered. Null sources, ids and texts are as in ``decide``; an empty
+    table gives an empty one.
+    """
+    columns = [docs[c] for c in docs.columns]
+    # a hash skips nulls, so where they are is hashed as well
+    told = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    chosen = (
+        decide(docs, row=told, **settings)
+        .groupBy("doc_id", "digest", "source", "row")
+        .agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+        .where("copies > 0")
+        .withColumnsRenamed({"doc_id": "of_id", "digest": "of_digest", "source": "of_source", "row": "of_row"})
+    )
+    keys = ["id", "digest", "origin", "told"]
+    rows = docs.select(
+        F.struct(*columns).alias("whole"),
+        docs["doc_id"].cast("long").alias("id"),
+        F.unhex(F.md5(as_bytes())).alias("digest"),
+        docs["source"].cast("string").alias("origin"),
+        told.alias("told"),
+    )
     same = (
-        keyed["_id"].eqNullSafe(other["of._id"])
-        & (keyed["_digest"] == other["of._digest"])
-        & (keyed["_n"] == other["of._n"])
+        F.col("id").eqNullSafe(F.col("of_id"))
+        & F.col("origin").eqNullSafe(F.col("of_source"))
+        & (F.col("digest") == F.col("of_digest"))
+        & (F.col("told") == F.col("of_row"))
+    )
+    single = rows.join(chosen.where("rows = 1"), same).select("whole", "copies")
+    repeated = rows.join(chosen.where("rows > 1"), same).groupBy(*keys).agg(
+        F.first("whole").alias("whole"), F.first("copies").alias("copies")
     )
-    taken = keyed.join(other, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*docs.columns)
+    taken = single.union(repeated.select("whole", "copies"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return taken.select("whole", each.alias("copy")).select("whole.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -68,6 +68,31 @@ def test_mix_repeats_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.report(df.limit(0)).count() == 0
 
 
+def test_columns_under_internal_names_stay(spark):
+    """Rows come out whole, repeated ones as often as was decided for them together."""
+    names = ["copies", "of", "_id", "_digest", "_n", "_copy", "row", "rows", "whole", "told", "origin", "id", "digest", "size", "target", "of_id", "copy"]
+    r = random.Random(5)
+    rows = [(i, "w " * r.choice([3, 30]), r.choice(["a", "b", None]), *[r.choice([i, None]) for _ in names]) for i in range(200)]
+    rows += rows[:9] * 3 + [(None, "one text", None, *[1] * len(names))] * 40 + [(None, "one text", "a", *[2] * len(names))] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    got = [tuple(x) for x in mixed.collect()]
+    decided = mixing.decide(df).collect()
+    key = lambda doc, text, source: str((doc, source, len(text.split())))
+    want, have, most = {}, {}, {}
+    for x in decided:
+        k = str((x.doc_id, x.source, x.size))
+        want[k] = want.get(k, 0) + x.copies
+        most[k] = most.get(k, 0) + 3
+    for x in got:
+        assert x in rows
+        have[key(*x[:3])] = have.get(key(*x[:3]), 0) + 1
+    assert have == {k: n for k, n in want.items() if n} and all(have[k] <= most[k] for k in have)
+    again = [tuple(x) for x in mixing.mix(df.repartition(5)).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str)
+
+
 def test_flight_keeps_both_totals_and_the_chances():
     r = random.Random(0)
     sizes = sorted((r.choice([1, 2, 7, 30]) for _ in range(90)), reverse=True)

@@ -73,15 +73,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     A row with the query's own id is no candidate. Ties go to the smaller id.
     Fewer than ``k`` candidates are all returned. Vectors of unequal length
     are compared as if the shorter one ended in zeros. Rows with a null id take no part;
-    a repeated id is a candidate once per row, a repeated query asks once. A
-    score beyond a long is given as the nearest long. Empty tables give an
+    a repeated id is a candidate once per row, a repeated query asks once,
+    with its least vector. A score beyond a long is given as the nearest long. Empty tables give an
     empty one.
     """
     import numpy as np
 
     spark = vectors.sparkSession
     vectors = vectors.where("id IS NOT NULL")
-    queries = queries.where("id IS NOT NULL").dropDuplicates(["id"])
+    queries = queries.where("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
     both = vectors.union(queries)
     as_double = F.transform("v", lambda x: x.cast("double"))
     norm = F.aggregate(as_double, F.lit(0.0), lambda acc, x: acc + x * x)

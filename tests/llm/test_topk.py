@@ -10,7 +10,7 @@ from lookalike.llm import topk
 def plain(rows, asked, k):
     found = []
     for q in sorted({q for q, _ in asked if q is not None}):
-        v = next(v for i, v in asked if i == q)
+        v = min(v for i, v in asked if i == q)
         scored = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in rows if i is not None and i != q)
         found += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(found)
@@ -24,7 +24,7 @@ def test_equals_all_scores(spark, monkeypatch, spread, pivots):
     middles = [[r.randint(-spread, spread) for _ in range(6)] for _ in range(4)]
     rows = [(i, [x + r.randint(-2, 2) for x in r.choice(middles)]) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(40)] + [(300, []), (301, [1, 2]), (None, [1] * 6), rows[3]]
-    asked = rows[::7] + [rows[0]]
+    asked = rows[::7] + [rows[0], (0, [spread] * 6), (0, [-spread] * 6)]
     tables = [spark.createDataFrame(t, "id long, v array<long>") for t in (rows, asked)]
     assert sorted(map(tuple, topk.top_k(*tables, k=5, pivots=pivots).collect())) == plain(rows, asked, 5)
 

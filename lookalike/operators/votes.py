@@ -18,8 +18,10 @@ sum, and gets both without that list:
   What all tokens from one on can give together is known from each token's
   largest count; once that cannot beat the bound, these tokens lead to no item
   any more and only add to the pairs that the tokens before them found;
-* a candidate whose leading tokens are common, so that they lead to many items,
-  asks the blocks of ``token_index`` instead.
+* short bags are asked for by two or three tokens at once (``token_subsets``),
+  which few items share however common the tokens are;
+* of long bags, and for candidates that would lead to many items even so, a
+  candidate whose leading tokens are common asks the blocks of ``token_index``.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import cut_lineage
 from .token_index import best_by_blocks, likely, signatures
+from .token_subsets import HITS, best_by_subsets
 
 #: Rows that a candidate's leading tokens may lead to; it asks the index of
 #: blocks beyond. The result is the same either way.
@@ -164,7 +167,20 @@ def best_with_total(
 
 
 def _contest(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, seeds: int, leads: int) -> DataFrame:
-    """Pairs among which every candidate's winner is, with their full votes.
+    """Pairs among which every candidate's winner is, with their full votes."""
+    c = cut_lineage(c)
+    whole, far, long = best_by_subsets(c, k, on, cand, key, seeds, min(leads, HITS))
+    short = k
+    if not long.isEmpty():
+        whole = whole.unionByName(_by_leads(c, k.join(long, key, "left_semi"), on, cand, key, seeds, leads))
+        short = k.join(long, key, "left_anti")
+    if not far.isEmpty():
+        whole = whole.unionByName(_by_leads(c.join(far, cand, "left_semi"), short, on, cand, key, seeds, leads))
+    return whole
+
+
+def _by_leads(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, seeds: int, leads: int) -> DataFrame:
+    """The same by a candidate's rarest tokens, or by blocks.
 
     Of two items with equal votes the lower key wins. An item that reaches all
     that a run of tokens can give has every token's largest count, so its key

@@ -236,10 +236,7 @@ def phash_ngrams(spark, sf_dir):
 def word_ngrams(spark, sf_dir):
     """Counts of the word n-grams of every document."""
     documents = inputs.table(spark, sf_dir, "documents")
-    rows = measures.word_ngram_rows(documents, "text", 3, "doc_id")
-    return rows.groupBy("token").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first_doc")
-    )
+    return measures.word_ngram_counts(documents, "text", 3, "doc_id")
 
 
 @query("color_centroids")

@@ -67,6 +67,17 @@ def word_ngram_rows(
     )
 
 
+def word_ngram_counts(documents: DataFrame, text: str, length: int, key: str) -> DataFrame:
+    """token, n and first_doc, the least key, of every n-gram of words.
+
+    Most n-grams of a task are different, so sums before the shuffle would save
+    few rows and spill most of them. Rows are dealt by n-gram first, and summed
+    where they arrive; a frequent n-gram is a stream of rows to one counter.
+    """
+    rows = word_ngram_rows(documents, text, length, key).repartition("token")
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.min(key).alias("first_doc"))
+
+
 # Fixed value: what separates words.
 WHITESPACE = r"[ \t\n\r\f\x0B]+"
 

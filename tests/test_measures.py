@@ -268,3 +268,11 @@ def test_quantile_of_sorted(spark):
     column = F.array(*[F.lit(v) for v in values])
     for q in (0.0, 0.3, 0.5, 1.0):
         assert one(spark.range(1), quantile_of_sorted(column, q)) == pytest.approx(np.quantile(values, q))
+
+
+def test_word_ngrams_are_not_summed_before_their_shuffle(spark):
+    docs = spark.createDataFrame([(3, "a b  c a b c"), (1, "b c a"), (2, None), (4, "a b")], "doc_id long, text string")
+    counts = measures.word_ngram_counts(docs, "text", 3, "doc_id")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "HashAggregate" not in plan.split("Exchange")[1]
+    assert {tuple(r) for r in counts.collect()} == {("a b c", 2, 3), ("b c a", 2, 1), ("c a b", 1, 3)}

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import cut_lineage
+from ..sources.store import cut_lineage, spread
 
 #: Rows of an average chunk: items times tokens.
 CHUNK_ROWS = 1 << 18
@@ -29,7 +29,7 @@ LEAF = 32
 #: A block holds 2^FAN_BITS blocks of the level below; the top has ROOTS at most.
 FAN_BITS = 6
 ROOTS = 64
-CANDIDATES = 4096
+CANDIDATES = 1024
 HASHES = 9
 
 
@@ -153,10 +153,10 @@ def visit(pairs: DataFrame, c: DataFrame, rows: DataFrame, bound: DataFrame, can
     def score(asking_rows, known_rows):
         return _scored(asking_rows, known_rows, cand, key)
 
+    asking = asking.select("_block", "_part", cand, "_id", "w", "_bound", "_by")
     return (
-        asking.select("_block", "_part", cand, "_id", "w", "_bound", "_by")
-        .groupBy("_block", "_part")
-        .cogroup(known.groupBy("_chunk", "_copy"))
+        spread(asking, "_block", "_part").groupBy("_block", "_part")
+        .cogroup(spread(known, "_chunk", "_copy").groupBy("_chunk", "_copy"))
         .applyInArrow(score, schema)
     )
 

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import cut_lineage
+from ..sources.store import cut_lineage, spread
 from .token_index import best_by_blocks, likely, signatures
 from .token_subsets import HITS, best_by_subsets
 
@@ -220,7 +220,7 @@ def _by_leads(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, se
     far = cut_lineage(
         marked.where("_leads").groupBy(cand).agg(F.sum("_df").alias("_to")).where(F.col("_to") > leads).select(cand)
     )
-    near = marked.join(far, cand, "left_anti")
+    near = cut_lineage(marked.join(far, cand, "left_anti"))
     whole = seeded.unionByName(_by_lists(near, k, bound, on, cand, key))
     if far.isEmpty():
         return whole
@@ -232,7 +232,8 @@ def _by_leads(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, se
 def _by_lists(marked: DataFrame, k: DataFrame, bound: DataFrame, on: list[str], cand: str, key: str) -> DataFrame:
     """Pairs that the leading tokens of ``marked`` find and that may win."""
     rest = marked.where("NOT _leads")
-    found = _pair_votes(marked.where("_leads"), k, on, cand, key)
+    # a candidate's few rows lead to thousands
+    found = _pair_votes(spread(marked.where("_leads"), cand), k, on, cand, key)
     reach = rest.groupBy(cand).agg(F.max("_left").alias("_rest"))
     hopeful = (
         found.join(bound, cand)
@@ -242,7 +243,7 @@ def _by_lists(marked: DataFrame, k: DataFrame, bound: DataFrame, on: list[str],
     )
     hopeful = cut_lineage(hopeful)
     added = (
-        hopeful.select(cand, key)
+        spread(hopeful.select(cand, key), cand)
         .join(rest.select(cand, *on, "w"), cand)
         .join(k, [key, *on])
         .select(cand, key, _product("w", "m").alias("votes"))

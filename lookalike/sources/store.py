@@ -44,6 +44,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows by ``by`` in as many tasks as a shuffle has, however few bytes they
+    are: for short rows that lead to much work, which sizes do not show. Rows
+    that a join or sum has just put together by ``by`` stay where they are, so
+    give a stored table."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 class RunStore:
     """Tables of one run, one Parquet folder each, below ``root/test_name``.
 

@@ -13,7 +13,9 @@ sum, and gets both without that list:
 * the sum comes from per-token totals, one row per token;
 * items with equal bags of tokens (copies) are represented by the one with
   the lowest key, which is also the one that wins among them;
-* a candidate's tokens are taken from rare to common. The items that hold most
+* blocks of candidates meet blocks of items in one task (``vote_grid``) as long
+  as the items are few blocks, so that only bags travel;
+* of more items, a candidate's tokens are taken from rare to common. The items that hold most
   of its rarest tokens are scored in full, and the best of them is a bound.
   What all tokens from one on can give together is known from each token's
   largest count; once that cannot beat the bound, these tokens lead to no item
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from ..sources.store import cut_lineage, spread
 from .token_index import best_by_blocks, likely, signatures
 from .token_subsets import HITS, best_by_subsets
-from .vote_grid import votes_by_blocks
+from .vote_grid import best_by_grid, votes_by_blocks
 
 #: Rows that a candidate's leading tokens may lead to; it asks the index of
 #: blocks beyond. The result is the same either way.
@@ -152,19 +154,25 @@ def best_with_total(
     key: str = "image_id",
     weight: str | None = None,
     seeds: int = SEEDS,
-    leads: int = LEADS,
+    leads: int | None = None,
 ) -> DataFrame:
     """cand, best_match, agree_count, total: the winner without the pair list.
 
-    Exact for any ``seeds`` of 1 or more, which make the bound better, and for
-    any ``leads``. Null tokens agree with none.
+    Blocks of candidates meet blocks of items (``vote_grid``) where the items are
+    few blocks. Else, or where ``leads`` is given, the ways are by subsets, leading
+    tokens and the index. Exact for any ``seeds`` of 1 or more, which make the
+    bound better, and for any ``leads``. Null tokens agree with none.
     """
     names = list(on)
     # both token tables are read several times below; store them once
     k = cut_lineage(weigh(key_tokens, key, names))
     sums = k.groupBy(*names).agg(F.sum("w").alias("m"))
+    # from here on a token is a number
+    sums = cut_lineage(sums.select(*names, "m", F.monotonically_increasing_id().alias("_token")))
     # tokens that no item has change nothing, and would tell equal bags apart
-    c = cut_lineage(weigh(cand_tokens, cand, names, weight).join(sums, names))
+    c = cut_lineage(weigh(cand_tokens, cand, names, weight).join(sums, names).select(cand, "_token", "w", "m"))
+    k = cut_lineage(k.join(sums, names).select(key, "_token", "w"))
+    names = ["_token"]
     totals = c.groupBy(cand).agg(_sum_votes().alias("total"))
 
     cand_reps, c = represent(c.drop("m"), cand, names, "w")
@@ -179,9 +187,14 @@ def best_with_total(
     )
 
 
-def _contest(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, seeds: int, leads: int) -> DataFrame:
+def _contest(c: DataFrame, k: DataFrame, on: list[str], cand: str, key: str, seeds: int, leads: int | None) -> DataFrame:
     """Pairs among which every candidate's winner is, with their full votes."""
     c = cut_lineage(c)
+    if leads is None:
+        met = best_by_grid(c, k, on[0], cand, key)
+        if met is not None:
+            return met
+        leads = LEADS
     whole, far, long = best_by_subsets(c, k, on, cand, key, seeds, min(leads, HITS))
     short = k
     if not long.isEmpty():

@@ -15,18 +15,17 @@ MAGIC_BYTES = {
     "BMP": "424D",
 }
 
+#: Tasks of a file scan that one task takes over, and tasks a core gets at least.
+SCANS = 16
+
 
 def image_scan(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Files of a folder that match ``glob``: path, length, content.
 
     The content of a file is read only where a query uses the column.
     """
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .load(folder)
-        .select(_plain_path(F.col("path")).alias("path"), "length", "content")
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return _fewer_tasks(files).select(_plain_path(F.col("path")).alias("path"), "length", "content")
 
 
 def image_load(
@@ -36,21 +35,28 @@ def image_load(
 
     A file that cannot be decoded comes back with height -1 unless dropped.
     """
-    return (
-        spark.read.format("image")
-        .option("pathGlobFilter", glob)
-        .option("dropInvalid", drop_invalid)
-        .load(folder)
-        .select(
-            _plain_path(F.col("image.origin")).alias("image_id"),
-            F.col("image.width").alias("width"),
-            F.col("image.height").alias("height"),
-            F.col("image.nChannels").alias("n_channels"),
-            F.col("image.data").alias("data"),
-        )
+    files = spark.read.format("image").option("pathGlobFilter", glob).option("dropInvalid", drop_invalid).load(folder)
+    return _fewer_tasks(files).select(
+        _plain_path(F.col("image.origin")).alias("image_id"),
+        F.col("image.width").alias("width"),
+        F.col("image.height").alias("height"),
+        F.col("image.nChannels").alias("n_channels"),
+        F.col("image.data").alias("data"),
     )
 
 
+def _fewer_tasks(files: DataFrame) -> DataFrame:
+    """The same rows in a ``SCANS``-th of the scan's tasks, but several for
+    every core.
+
+    A scan counts megabytes for the opening of a file, so a task gets but a few
+    small pictures and costs more than they do. Files pass one at a time.
+    """
+    tasks = files.rdd.getNumPartitions()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(1, -(-tasks // SCANS), min(tasks, SCANS * cores)))
+
+
 def image_format(content: Column) -> Column:
     """Format name from the leading bytes; null for other files."""
     head = F.hex(F.substring(content, 1, 8))

@@ -111,3 +111,20 @@ def test_lists_left_are_only_looked_up():
     inner, best.votes = best.votes, Votes()
     (rows,) = best.ask(pa.table({"c": ["a", "a"], "_id": [0, 1], "n": [1, 1]}), "c")
     assert [tuple(r.values()) for r in rows.to_pylist()] == [("a", 7, 3)] and len(common) == n and max(seen) == 2
+
+
+def test_bags_do_not_travel_more_often_for_more_candidates(spark, monkeypatch):
+    """Of all votes: items meet blocks of candidates, as many as the cores need."""
+    monkeypatch.setattr(vote_grid, "WORTH", 2)
+    monkeypatch.setattr(vote_grid, "OWNERS", 10)
+    travelled, inner = [], vote_grid._meet
+    monkeypatch.setattr(vote_grid, "_meet", lambda *a: travelled.append(a[4]) or inner(*a))
+    for owners in (100, 600):
+        cand, known = ([(f"t{i % 7}", o) for o in range(n) for i in range(o, o + 5)] for n in (owners, 20))
+        rows = votes.vote_counts(
+            spark.createDataFrame(cand, "token string, cand int"), spark.createDataFrame(known, "token string, image_id int")
+        )
+        want = sum(sum(u == t for u, _ in known) for t, _ in cand)
+        assert rows.agg({"votes": "sum"}).first()[0] == want and rows.count() == owners * 20
+    small, large = travelled
+    assert small["items"] == large["items"] == 2 and small["cands"] == large["cands"] <= vote_grid.TASKS * spark.sparkContext.defaultParallelism

@@ -128,3 +128,27 @@ def test_bags_do_not_travel_more_often_for_more_candidates(spark, monkeypatch):
         assert rows.agg({"votes": "sum"}).first()[0] == want and rows.count() == owners * 20
     small, large = travelled
     assert small["items"] == large["items"] == 2 and small["cands"] == large["cands"] <= vote_grid.TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_weighted_bags_of_two_kinds_make_no_rows_of_pairs(spark, monkeypatch, no_rows):
+    """As in weighted mode: tokens count as often as their cluster is large."""
+    monkeypatch.setattr(vote_grid, "OWNERS", 16)
+    cand, known = bags(5, 40, 6, (7,), 3, int), bags(6, 90, 6, (7,), 1, int)
+    sizes = {cluster: 10**9 + 7 * cluster for cluster in range(5)}
+    kinds = [
+        votes.tagged({kind: spark.createDataFrame([(f"{kind}{t}", o, *more) for t, o, *more in rows], schema) for kind in ("phash", "ward")})
+        for rows, schema in (
+            ([(t, o, sizes[c]) for c, t, o in cand], "token string, cand int, n_b bigint"),
+            ([(t, o) for _, t, o in known], "token string, image_id int"),
+        )
+    ]
+    got = best_with_total(*kinds, ("kind", "token"), weight="n_b").collect()
+    pairs = {}
+    for c, t, o in cand:
+        for _, u, i in known:
+            if t == u:
+                pairs[o, i] = pairs.get((o, i), 0) + 2 * sizes[c]
+    for r in got:
+        mine = {i: v for (o, i), v in pairs.items() if o == r.cand}
+        assert (r.agree_count, -r.best_match) == max((v, -i) for i, v in mine.items()) and r.total == sum(mine.values())
+    assert sorted(r.cand for r in got) == sorted({o for o, _ in pairs})
